@@ -12,7 +12,7 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,8 +31,8 @@ OPEN = 256
 SLACK = 4
 #: Pieces that a partition packs at a time: bounds its memory.
 BLOCK = 50_000
-#: Words whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 40
+#: Words, and chunks between white space, whose ids a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 40
 
 STATE = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, node long, open boolean"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("node", pa.int64()), ("open", pa.bool_())])
@@ -56,11 +56,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids by string, found by a function where they are not known yet; long strings are not remembered."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.find(key)
+        if len(key) <= LONGEST:
+            self[key] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, the same as the tokenizer's.
 
-    Texts of Latin letters are split into words here, and the model merges each word once: words repeat, and the ids of a text are those of its words, one after the
-    other. Any other text, and any tokenizer that does not split and normalise like the one this was written for, goes through the whole tokenizer.
+    Texts of Latin letters are split at white space and into words here, and the model merges each word once: the ids of a text are those of its words, one after the
+    other, and words and chunks repeat. Any other text, and any tokenizer that does not split and normalise like the one this was written for, goes through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
@@ -71,9 +86,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
-        self.words = regex.compile(_WORD).findall
+        self.split = regex.compile(_WORD).findall
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.words, self.chunks = _Known(self.word), _Known(self.chunk)
         self.latin = all(x in str(self.tokenizer.pre_tokenizer) + str(self.tokenizer.normalizer) for x in (_WORD, "NFC()", r"\s+", "Lowercase()", "ByteLevel(add_prefix_space=False"))
 
     def whole(self, text: str) -> bytes:
@@ -84,6 +99,11 @@ class Encoder:
             word = "".join(map(self.letters.__getitem__, word.encode()))
         return array("I", [t.id for t in self.merge(word)]).tobytes()
 
+    def chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self.word(chunk)
+        return b"".join(map(self.words.__getitem__, self.split(chunk)))
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         for text in texts:
             if not text:
@@ -91,16 +111,10 @@ class Encoder:
             elif not self.latin or _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
                 yield self.whole(text)
             else:
-                words, known = self.words(text.lower()), self.known
-                missing = set(words).difference(known)
-                for x in missing:
-                    known[x] = self.word(x)
-                yield b"".join(map(known.__getitem__, words))
-                for x in missing:
-                    if len(x) > LONGEST:
-                        del known[x]
-                if len(known) > REMEMBERED:
-                    self.known = {}
+                yield b"".join(map(self.chunks.__getitem__, text.lower().split()))
+                for known in (self.words, self.chunks):
+                    if len(known) > REMEMBERED:
+                        known.clear()
 
 
 @lru_cache(maxsize=2)

@@ -1,14 +1,591 @@
-"""Registered queries of the matting engine and the SQL that gives the same rows."""
+"""Registered queries of the matting engine and the SQL that gives the same rows.
+
+All run over the whole rasters that rasters.py makes of the tables. Doubles are rounded to 6 places, as sums come in any order.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from alphaloom.operators import laplacians as lap
+from alphaloom.operators import matrix, neighbours, pixels
+from alphaloom.plans import estimators, images
+from alphaloom.sources import rasters
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+KEY = ["image_id", "y", "x"]
+RGB = ["r", "g", "b"]
+FB = [f"{p}_{c}" for p in "fb" for c in RGB]
+H, W = rasters.ROWS, 21
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _rounded(f(spark, sf_dir))
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def r6(expr: str, name: str | None = None) -> str:
+    return f"round({expr}, 6) + 0.0 AS {name or expr.split('.')[-1]}"
+
+
+def r6s(names: Sequence[str]) -> str:
+    return ", ".join(map(r6, names))
+
+
+def sql(select: str, *views: str, base: str = rasters.SQL) -> str:
+    return "WITH " + ",\n".join([base, *views]) + "\n" + select
+
+
+K = "image_id, y, x"
+
+
+def rgb(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.rgb(spark, d)
+
+
+def tri(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.with_trimap(rasters.rgb(spark, d))
+
+
+# --- pixels --------------------------------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("t_trimap_split", sql(f"SELECT {K}, t >= 0.9 AS is_fg, t <= 0.1 AS is_bg, t >= 0.9 OR t <= 0.1 AS is_known, NOT (t >= 0.9 OR t <= 0.1) AS is_unknown FROM tri"))
+def _(spark, d):
+    return pixels.trimap_split(tri(spark, d)).select(*KEY, "is_fg", "is_bg", "is_known", "is_unknown")
+
+
+@query("t_fix_trimap", sql(f"SELECT {K}, CASE WHEN v < 0.4 THEN 0.0::DOUBLE WHEN v > 0.6 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS t FROM raster"))
+def _(spark, d):
+    return pixels.fix_trimap(rasters.raster(spark, d).withColumnRenamed("v", "t"), 0.4, 0.6)
+
+
+@query("t_blend", sql(f"SELECT {K}, {r6('t * r + (1 - t) * b', 'r')}, {r6('t * g + (1 - t) * g', 'g')}, {r6('t * b + (1 - t) * r', 'b')} FROM tri"))
+def _(spark, d):
+    p = tri(spark, d)
+    back = p.select(*KEY, F.col("b").alias("r"), "g", F.col("r").alias("b"))
+    return pixels.blend(p.select(*KEY, *RGB), back, p.select(*KEY, F.col("t").alias("alpha")))
+
+
+_FG, _BG = [0x86 / 255, 0xFF / 255, 0x1A / 255], [0xF4 / 255, 0x7F / 255, 0x32 / 255]
+_D = [f - b for f, b in zip(_FG, _BG, strict=True)]
+_lit = lambda v: f"{v!r}::DOUBLE"
+_along = " + ".join(f"({c} - {_lit(b)}) * {_lit(v)}" for c, b, v in zip(RGB, _BG, _D, strict=True))
+_clip = lambda e: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {e}))"
+
+
+@query(
+    "t_bicolor",
+    sql(
+        f"SELECT {K}, " + ", ".join(r6(_clip(f"CASE WHEN a > 0 THEN ({c} - (1 - a) * {_lit(b)}) / a ELSE 0.0::DOUBLE END"), c) for c, b in zip(RGB, _BG, strict=True)) + f", {r6('a')} FROM al",
+        f"al AS (SELECT *, {_clip(f'({_along}) / {_lit(sum(v * v for v in _D))}')} AS a FROM rgb)",
+    ),
+)
+def _(spark, d):
+    return pixels.remove_background_bicolor(rgb(spark, d), _FG, _BG)
+
+
+@query("t_to_rgb8", sql(f"SELECT {K}, " + ", ".join(f"CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, {c} * 255.0::DOUBLE))) AS INT) AS {c}" for c in RGB) + " FROM rgb"))
+def _(spark, d):
+    return pixels.to_rgb8(rgb(spark, d))
+
+
+@query("t_normalize", sql(f"SELECT {K}, {r6('(v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())', 'v')} FROM heat", base=rasters.HEAT_SQL))
+def _(spark, d):
+    return pixels.normalize(rasters.heat(spark, d))
+
+
+@query("t_stack", sql(f"SELECT {K}, {r6s(RGB)}, {r6('t', 'a')} FROM tri"))
+def _(spark, d):
+    p = tri(spark, d)
+    return pixels.stack([p, p], [RGB, ["t"]], [*RGB, "a"])
+
+
+@query(
+    "t_make_grid",
+    sql(
+        f"""SELECT 0::BIGINT AS image_id, CAST(g // (nx * {W}) AS INT) AS y, CAST(g % (nx * {W}) AS INT) AS x, round(coalesce(r, 0.0::DOUBLE), 6) + 0.0 AS r
+        FROM (SELECT nx, unnest(range(ny * {H} * nx * {W})) AS g FROM (SELECT nx, (n + nx - 1) // nx AS ny FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS nx FROM (SELECT count(DISTINCT image_id) AS n FROM rgb)))) d
+        LEFT JOIN rgb ON image_id = (g // (nx * {W})) // {H} * nx + (g % (nx * {W})) // {W} AND rgb.y = (g // (nx * {W})) % {H} AND rgb.x = (g % (nx * {W})) % {W}"""
+    ),
+)
+def _(spark, d):
+    n = -(-rasters.table(spark, d, "embeddings").count() // H)
+    return pixels.make_grid(rgb(spark, d), n, H, W, column="r")
+
+
+@query("t_resize_nearest", sql("SELECT image_id, CAST(i // 13 AS INT) AS y, CAST(i % 13 AS INT) AS x, " + r6s(RGB) + f" FROM (SELECT unnest(range(260)) AS i) t JOIN rgb ON rgb.y = (i // 13) * {H} // 20 AND rgb.x = (i % 13) * {W} // 13"))
+def _(spark, d):
+    return neighbours.resize(rgb(spark, d), 20, 13, RGB)
+
+
+@query("t_resize_box", sql(f"SELECT image_id, y // 2 AS y, x // 3 AS x, {', '.join(r6(f'avg({c})', c) for c in RGB)} FROM rgb GROUP BY 1, 2, 3"))
+def _(spark, d):
+    return neighbours.resize(rgb(spark, d), H // 2, W // 3, RGB, "box")
+
+
+@query("t_mean_colours", sql("SELECT image_id, " + ", ".join(r6(f"sum(CASE WHEN {cond} THEN {c} ELSE 0 END) / (count(CASE WHEN {cond} THEN 1 END) + 0.00001::DOUBLE)", f"{p}_{c}") for p, cond in (("f", "t > 0.9"), ("b", "t < 0.1")) for c in RGB) + " FROM tri GROUP BY image_id"))
+def _(spark, d):
+    return pixels.mean_colours(tri(spark, d).withColumn("alpha", F.col("t")))
+
+
+@query("t_known_means", sql("SELECT image_id, " + ", ".join(r6(f"avg(CASE WHEN t = {v} THEN {c} END)", f"{p}_{c}") for p, v in (("f", 1), ("b", 0)) for c in RGB) + " FROM tri GROUP BY image_id"))
+def _(spark, d):
+    return pixels.known_means(tri(spark, d))
+
+
+@query("t_error_metrics", sql(f"SELECT image_id, {r6('sqrt(sum((r - g) * (r - g)))', 'l2')}, {r6('avg((r - g) * (r - g))', 'mse')}, {r6('max(abs(r - g))', 'max_abs')}, {r6('sum(t * abs(r - g)) / sum(t)', 'mean_abs')}, count(*) AS n FROM tri GROUP BY image_id"))
+def _(spark, d):
+    return pixels.error_metrics(tri(spark, d), "r", "g", "t")
+
+
+@query("t_solver_stats", f"SELECT event_type, {r6('avg(value)', 'value_mean')}, {r6('stddev_pop(value)', 'value_std')}, {r6('max(value)', 'value_max')}, count(*) AS n FROM events GROUP BY event_type")
+def _(spark, d):
+    return pixels.solver_statistics(rasters.table(spark, d, "events"), ["event_type"], ["value"])
+
+
+# --- frames, distances, neighbours ------------------------------------------------------------------------------------------------------------------------------------
+
+_BOX = lambda r: f"bx AS (SELECT {K}, sum(u) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS v FROM (SELECT {K}, sum(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS u FROM raster))"
+
+
+@query("t_box_same", sql(f"SELECT {K}, {r6('v')} FROM bx", _BOX(3)))
+def _(spark, d):
+    return neighbours.box_sum(rasters.raster(spark, d), 3, "same")
+
+
+@query("t_box_prefix", sql(f"SELECT {K}, {r6('v')} FROM bx", _BOX(10)))
+def _(spark, d):
+    return neighbours.box_sum_prefix(rasters.raster(spark, d), 10)
+
+
+@query("t_box_valid", sql(f"SELECT image_id, y - 3 AS y, x - 3 AS x, {r6('v')} FROM bx WHERE y BETWEEN 3 AND {H - 4} AND x BETWEEN 3 AND 60", _BOX(3)))
+def _(spark, d):
+    return neighbours.box_sum(rasters.raster(spark, d), 3, "valid")
+
+
+@query("t_box_full", sql(f"SELECT image_id, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x, {r6('sum(v)', 'v')} FROM raster, range(5) a(dy), range(5) b(dx) GROUP BY 1, 2, 3"))
+def _(spark, d):
+    return neighbours.box_sum(rasters.raster(spark, d), 2, "full")
+
+
+@query("t_edt", sql(f"SELECT p.image_id, p.y, p.x, {r6('sqrt(min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)))', 'd')} FROM raster p JOIN raster q ON p.image_id = q.image_id AND q.v <= 0.4 GROUP BY 1, 2, 3"))
+def _(spark, d):
+    return neighbours.distance_transform(rasters.raster(spark, d).withColumn("mask", F.col("v") > 0.4))
+
+
+@query("t_gradient", sql(f"SELECT {K}, {r6('(lead(v, 1, v) OVER xs - lag(v, 1, v) OVER xs) / 2', 'gx')}, {r6('(lead(v, 1, v) OVER ys - lag(v, 1, v) OVER ys) / 2', 'gy')} FROM raster WINDOW xs AS (PARTITION BY image_id, y ORDER BY x), ys AS (PARTITION BY image_id, x ORDER BY y)"))
+def _(spark, d):
+    return neighbours.gradient(rasters.raster(spark, d))
+
+
+@query("t_directional_difference", sql(f"SELECT {K}, {r6('v - lead(v, 1, v) OVER xs', 'dx')}, {r6('v - lead(v, 1, v) OVER ys', 'dy')} FROM raster WINDOW xs AS (PARTITION BY image_id, y ORDER BY x), ys AS (PARTITION BY image_id, x ORDER BY y)"))
+def _(spark, d):
+    return neighbours.directional_difference(rasters.raster(spark, d))
+
+
+@query(
+    "t_knn_topk",
+    f"""SELECT qid, id, {r6('d')}, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, id) AS INT) AS rank FROM (
+      SELECT a.vec_id AS qid, b.vec_id AS id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d
+      FROM embeddings a, embeddings b)) WHERE rank <= 5""",
+)
+def _(spark, d):
+    p = rasters.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("f"))
+    return neighbours.knn(p, p, 5)
+
+
+# --- matrices ------------------------------------------------------------------------------------------------------------------------------------------------------------
+
+_OFF = lambda r, extra="": f"off AS (SELECT CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx{extra} FROM range({-r}, {r + 1}) a(dy), range({-r}, {r + 1}) b(dx))"
+_CLAMP = f"JOIN rgb q ON q.image_id = p.image_id AND q.y = greatest(0, least({H - 1}, p.y + dy)) AND q.x = greatest(0, least({W - 1}, p.x + dx))"
+_PAIR = f"p.image_id, CAST(p.y * {W} + p.x AS BIGINT) AS i, CAST(q.y * {W} + q.x AS BIGINT) AS j"
+_RAW = f"raw AS (SELECT {_PAIR}, 0.5 + p.r * q.r AS v FROM rgb p CROSS JOIN off {_CLAMP})"
+_COO = "coo AS (SELECT image_id, i, j, sum(v) AS v FROM raw GROUP BY ALL)"
+_VEC = f"vec AS (SELECT image_id, CAST(y * {W} + x AS BIGINT) AS i, g AS v FROM rgb)"
+
+
+def raw_coo(spark: SparkSession, d: str) -> DataFrame:
+    fan = neighbours.neighbours(rgb(spark, d), neighbours.box(1), ["r"], "clamp")
+    return fan.select("image_id", (F.col("y") * W + F.col("x")).cast("long").alias("i"), (F.col("ny") * W + F.col("nx")).cast("long").alias("j"), (F.lit(0.5) + F.col("r") * F.col("n_r")).alias("v"))
+
+
+def coo(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.sum_duplicates(raw_coo(spark, d))
+
+
+def vec(spark: SparkSession, d: str, value: str | Column = "g") -> DataFrame:
+    return rgb(spark, d).select("image_id", (F.col("y") * W + F.col("x")).cast("long").alias("i"), (F.col(value) if isinstance(value, str) else value).alias("v"))
+
+
+@query("t_row_sum", sql(f"SELECT image_id, i, {r6('sum(v)', 'v')} FROM coo GROUP BY ALL", _OFF(1), _RAW, _COO).replace("GROUP BY ALL", "GROUP BY 1, 2", 2).replace("FROM raw GROUP BY 1, 2", "FROM raw GROUP BY 1, 2, 3"))
+def _(spark, d):
+    return matrix.row_sum(coo(spark, d))
+
+
+@query("t_sum_duplicates", sql(f"SELECT image_id, i, j, {r6('v')} FROM coo", _OFF(1), _RAW, _COO))
+def _(spark, d):
+    return coo(spark, d)
+
+
+@query("t_normalize_rows", sql(f"SELECT image_id, i, j, {r6('v / sum(v) OVER (PARTITION BY image_id, i)', 'v')} FROM coo", _OFF(1), _RAW, _COO))
+def _(spark, d):
+    return matrix.normalize_rows(coo(spark, d))
+
+
+@query("t_transpose", sql(f"SELECT image_id, j AS i, i AS j, {r6('v')} FROM coo", _OFF(1), _RAW, _COO))
+def _(spark, d):
+    return matrix.transpose(coo(spark, d))
+
+
+@query("t_matvec", sql(f"SELECT c.image_id, c.i, {r6('sum(c.v * x.v)', 'v')} FROM coo c JOIN vec x ON x.image_id = c.image_id AND x.i = c.j GROUP BY 1, 2", _OFF(1), _RAW, _COO, _VEC))
+def _(spark, d):
+    return matrix.matvec(coo(spark, d), vec(spark, d))
+
+
+@query("t_matmat", sql(f"SELECT a.image_id, a.i, b.j, {r6('sum(a.v * b.v)', 'v')} FROM coo a JOIN coo b ON b.image_id = a.image_id AND b.i = a.j GROUP BY 1, 2, 3", _OFF(1), _RAW, _COO))
+def _(spark, d):
+    c = coo(spark, d)
+    return matrix.matmat(c, c)
+
+
+@query("t_block_matrix", sql(f"SELECT image_id, i, j, {r6('v')} FROM coo UNION ALL SELECT image_id, i + {H * W}, j + {H * W}, round(v, 6) + 0.0 FROM coo UNION ALL SELECT image_id, i, i + {H * W}, round(v, 6) + 0.0 FROM vec", _OFF(1), _RAW, _COO, _VEC))
+def _(spark, d):
+    c = coo(spark, d)
+    return matrix.block({(0, 0): c, (1, 1): c, (0, 1): matrix.diagonal(vec(spark, d))}, F.lit(H * W).cast("long"))
+
+
+_KNOWN = f"kn AS (SELECT image_id, CAST(y * {W} + x AS BIGINT) AS i, t >= 0.9 AS f, (t >= 0.9 OR t <= 0.1) AS k FROM tri)"
+
+
+@query("t_restrict_known", sql(f"SELECT c.image_id, c.i, c.j, {r6('c.v')} FROM coo c JOIN kn a ON a.image_id = c.image_id AND a.i = c.i AND NOT a.k JOIN kn b ON b.image_id = c.image_id AND b.i = c.j AND b.k", _OFF(1), _RAW, _COO, _KNOWN))
+def _(spark, d):
+    flags = known(spark, d)
+    return matrix.restrict(coo(spark, d), flags.filter(~F.col("is_known")), flags.filter("is_known"))
+
+
+def known(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.trimap_split(tri(spark, d), validate=False).select("image_id", (F.col("y") * W + F.col("x")).cast("long").alias("i"), "is_known", "is_fg")
+
+
+@query("t_csr", sql("SELECT image_id, i, count(*) AS n, min(j) AS first_j, max(j) AS last_j, round(min_by(v, j), 6) + 0.0 AS first_v FROM coo GROUP BY 1, 2", _OFF(1), _RAW, _COO))
+def _(spark, d):
+    c = matrix.csr(raw_coo(spark, d))
+    return c.select("image_id", "i", F.size("indices").cast("long").alias("n"), F.get("indices", F.lit(0)).alias("first_j"), F.element_at("indices", -1).alias("last_j"), F.get("data", F.lit(0)).alias("first_v"))
+
+
+_CONV = "(2 - abs(dy)) * (2 - abs(dx)) / 16.0::DOUBLE"
+
+
+@query("t_sparse_conv", sql(f"SELECT image_id, i, j, {r6('sum(v)', 'v')} FROM (SELECT {_PAIR}, {_CONV} AS v FROM rgb p CROSS JOIN off {_CLAMP}) GROUP BY 1, 2, 3", _OFF(1)))
+def _(spark, d):
+    return lap.sparse_conv_matrix(rgb(spark, d), [[1 / 16, 2 / 16, 1 / 16], [2 / 16, 4 / 16, 2 / 16], [1 / 16, 2 / 16, 1 / 16]])
+
+
+def _lap_sql(weight: str, reg: float = 0.0) -> list[str]:
+    """Views ending in lp: the Laplacian of clamped neighbourhood weights, rows normalised."""
+    return [
+        _OFF(1),
+        f"wt AS (SELECT image_id, i, j, sum(v) AS v FROM (SELECT {_PAIR}, {weight} AS v FROM rgb p CROSS JOIN off {_CLAMP}) GROUP BY 1, 2, 3)",
+        "wn AS (SELECT image_id, i, j, v / sum(v) OVER (PARTITION BY image_id, i) AS v FROM wt)",
+        f"lp AS (SELECT image_id, i, j, sum(v) AS v FROM (SELECT image_id, i, j, -v AS v FROM wn UNION ALL SELECT image_id, i, i, {reg!r}::DOUBLE + sum(v) FROM wn GROUP BY 1, 2) GROUP BY 1, 2, 3)",
+    ]
+
+
+@query("t_uniform_laplacian", sql(f"SELECT image_id, i, j, {r6('v')} FROM lp", *_lap_sql("1.0::DOUBLE")))
+def _(spark, d):
+    return lap.uniform_laplacian(rgb(spark, d))
+
+
+_RW = "exp(-900.0::DOUBLE * ((p.r - q.r) * (p.r - q.r) + (p.g - q.g) * (p.g - q.g) + (p.b - q.b) * (p.b - q.b)))"
+
+
+@query("t_rw_laplacian", sql(f"SELECT image_id, i, j, {r6('v')} FROM lp", *_lap_sql(_RW, 1e-8)))
+def _(spark, d):
+    return lap.rw_laplacian(rgb(spark, d))
+
+
+def _knn_sql(k: int, weight: float) -> str:
+    f = lambda t: [*(f"{t}.{c}::FLOAT::DOUBLE" for c in RGB), f"({t}.x / {W - 1}.0::DOUBLE * {weight}::DOUBLE)::FLOAT::DOUBLE", f"({t}.y / {H - 1}.0::DOUBLE * {weight}::DOUBLE)::FLOAT::DOUBLE"]
+    d = " + ".join(f"({a} - {b}) * ({a} - {b})" for a, b in zip(f("p"), f("q"), strict=True))
+    return f"SELECT image_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY image_id, i ORDER BY d, j) AS k FROM (SELECT {_PAIR}, {d} AS d FROM rgb p JOIN rgb q ON q.image_id = p.image_id)) WHERE k <= {k}"
+
+
+@query(
+    "t_knn_laplacian",
+    sql(
+        f"SELECT image_id, i, j, {r6('sum(v)', 'v')} FROM (SELECT image_id, i, j, -v AS v FROM wn UNION ALL SELECT image_id, CAST(y * {W} + x AS BIGINT), CAST(y * {W} + x AS BIGINT), 1.0::DOUBLE FROM rgb) GROUP BY 1, 2, 3",
+        f"ed AS ({_knn_sql(10, 2.0)} UNION ALL {_knn_sql(5, 0.1)})",
+        "wt AS (SELECT image_id, i, j, count(*)::DOUBLE AS v FROM (SELECT * FROM ed UNION ALL SELECT image_id, j, i FROM ed) GROUP BY 1, 2, 3)",
+        "wn AS (SELECT image_id, i, j, v / sum(v) OVER (PARTITION BY image_id, i) AS v FROM wt)",
+    ),
+)
+def _(spark, d):
+    return lap.knn_laplacian(rgb(spark, d), (10, 5), (2.0, 0.1))
+
+
+_INV = {
+    "rr": "gg * bb - gb * gb", "rg": "rb * gb - rg * bb", "rb": "rg * gb - rb * gg", "gg": "rr * bb - rb * rb", "gb": "rg * rb - rr * gb", "bb": "rr * gg - rg * rg",
+}
+_SYM = lambda a, b: "".join(sorted((a, b), key="rgb".index))
+_CF = [
+    _OFF(1),
+    f"win AS (SELECT p.image_id, p.y, p.x, CAST(q.y * {W} + q.x AS BIGINT) AS i, q.r, q.g, q.b FROM rgb p CROSS JOIN off JOIN rgb q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.y BETWEEN 1 AND {H - 2} AND p.x BETWEEN 1 AND {W - 2})",
+    "cen AS (SELECT image_id, y, x, i, " + ", ".join(f"{c} - avg({c}) OVER w AS {c}" for c in RGB) + " FROM win WINDOW w AS (PARTITION BY image_id, y, x))",
+    "cov AS (SELECT image_id, y, x, " + ", ".join(f"(sum({a} * {b}) + {1e-7 if a == b else 0.0}::DOUBLE) / 9 AS {a}{b}" for k, a in enumerate(RGB) for b in RGB[k:]) + " FROM cen GROUP BY 1, 2, 3)",
+    "inv AS (SELECT image_id, y, x, " + ", ".join(f"({e}) / det AS {n}" for n, e in _INV.items()) + " FROM (SELECT *, rr * (gg * bb - gb * gb) + rg * (rb * gb - rg * bb) + rb * (rg * gb - rb * gg) AS det FROM cov))",
+    "cf AS (SELECT a.image_id, a.i, b.i AS j, sum(CASE WHEN a.i = b.i THEN 1 ELSE 0 END - (1 + " + " + ".join(f"a.{p} * n.{_SYM(p, q)} * b.{q}" for p in RGB for q in RGB) + ") / 9) AS v FROM cen a JOIN cen b USING (image_id, y, x) JOIN inv n USING (image_id, y, x) GROUP BY 1, 2, 3)",
+]
+
+
+@query("t_cf_laplacian", sql(f"SELECT image_id, i, j, {r6('v')} FROM cf", *_CF))
+def _(spark, d):
+    return lap.cf_laplacian(rgb(spark, d))
+
+
+@query("t_lkm_matvec", sql(f"SELECT c.image_id, CAST(c.i // {W} AS INT) AS y, CAST(c.i % {W} AS INT) AS x, {r6('sum(c.v * p.v)', 'v')} FROM cf c JOIN vec p ON p.image_id = c.image_id AND p.i = c.j GROUP BY 1, 2, 3", *_CF, f"vec AS (SELECT image_id, CAST(y * {W} + x AS BIGINT) AS i, t AS v FROM tri)"))
+def _(spark, d):
+    return lap.lkm_matvec(tri(spark, d), "t")
+
+
+@query("t_lkm_diag", sql(f"SELECT image_id, CAST(i // {W} AS INT) AS y, CAST(i % {W} AS INT) AS x, {r6('v')} FROM cf WHERE i = j", *_CF))
+def _(spark, d):
+    return lap.lkm_diagonal(rgb(spark, d))
+
+
+@query("t_lbdm_laplacian")
+def _(spark, d):
+    return lap.lbdm_laplacian(rgb(spark, d))
+
+
+_SYSTEM = [
+    *_lap_sql("1.0::DOUBLE"),
+    _KNOWN,
+    "am AS (SELECT image_id, i, j, sum(v) AS v FROM (SELECT * FROM lp UNION ALL SELECT image_id, i, i, 100.0::DOUBLE FROM kn WHERE k) GROUP BY 1, 2, 3)",
+    "bv AS (SELECT image_id, i, CASE WHEN f THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM kn)",
+]
+
+
+def system(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return lap.make_linear_system(lap.uniform_laplacian(rgb(spark, d)), known(spark, d))
+
+
+@query("t_linear_system", sql(f"SELECT image_id, i, j, {r6('v')} FROM am UNION ALL SELECT image_id, i, -1::BIGINT, round(v, 6) + 0.0 FROM bv", *_SYSTEM))
+def _(spark, d):
+    a, b = system(spark, d)
+    return a.unionByName(b.select("image_id", "i", F.lit(-1).cast("long").alias("j"), "v"))
+
+
+@query(
+    "t_jacobi_step",
+    sql(
+        f"SELECT x.image_id, x.i, {r6('x.v + 0.8 * (b.v - ax.v) / d.v', 'v')} FROM vec x JOIN bv b USING (image_id, i) JOIN (SELECT image_id, i, v FROM am WHERE i = j) d USING (image_id, i) "
+        "JOIN (SELECT a.image_id, a.i, sum(a.v * y.v) AS v FROM am a JOIN vec y ON y.image_id = a.image_id AND y.i = a.j GROUP BY 1, 2) ax USING (image_id, i)",
+        *_SYSTEM, _VEC,
+    ),
+)
+def _(spark, d):
+    a, b = system(spark, d)
+    return matrix.jacobi_step(a, b, vec(spark, d), 0.8)
+
+
+def _cg_sql(steps: int) -> str:
+    """Unrolled: st_k holds x, r and p by place, rz_k the product of r and the preconditioned r."""
+    views = [
+        _OFF(1), "wt AS MATERIALIZED (SELECT image_id, i, j, sum(v) AS v FROM (SELECT " + _PAIR + ", 1.0::DOUBLE AS v FROM rgb p CROSS JOIN off " + _CLAMP + ") WHERE i <> j GROUP BY 1, 2, 3)",
+        "am AS MATERIALIZED (SELECT image_id, i, j, -v AS v FROM (SELECT a.image_id, a.i, a.j, a.v + b.v AS v FROM wt a JOIN wt b ON b.image_id = a.image_id AND b.i = a.j AND b.j = a.i) UNION ALL "
+        "SELECT a.image_id, a.i, a.i, 1 + sum(a.v + b.v) FROM wt a JOIN wt b ON b.image_id = a.image_id AND b.i = a.j AND b.j = a.i GROUP BY 1, 2)",
+        f"dg AS MATERIALIZED (SELECT image_id, i, v AS d FROM am WHERE i = j)",
+        f"st0 AS MATERIALIZED (SELECT image_id, i, d, 0.0::DOUBLE AS x, g AS r, g / d AS p FROM dg JOIN (SELECT image_id, CAST(y * {W} + x AS BIGINT) AS i, g FROM rgb) USING (image_id, i))",
+        "rz0 AS MATERIALIZED (SELECT sum(r * r / d) AS s FROM st0)",
+    ]
+    for k in range(steps):
+        views += [
+            f"q{k} AS MATERIALIZED (SELECT s.image_id, s.i, s.d, s.x, s.r, s.p, q FROM st{k} s JOIN (SELECT a.image_id, a.i, sum(a.v * t.p) AS q FROM am a JOIN st{k} t ON t.image_id = a.image_id AND t.i = a.j GROUP BY 1, 2) USING (image_id, i))",
+            f"al{k} AS MATERIALIZED (SELECT (SELECT s FROM rz{k}) / sum(p * q) AS a FROM q{k})",
+            f"mv{k} AS MATERIALIZED (SELECT image_id, i, d, x + a * p AS x, r - a * q AS r, p FROM q{k}, al{k})",
+            f"rz{k + 1} AS MATERIALIZED (SELECT sum(r * r / d) AS s FROM mv{k})",
+            f"st{k + 1} AS MATERIALIZED (SELECT image_id, i, d, x, r, r / d + (SELECT s FROM rz{k + 1}) / (SELECT s FROM rz{k}) * p AS p FROM mv{k})",
+        ]
+    return sql(f"SELECT image_id, i, {r6('x', 'v')} FROM st{steps}", *views)
+
+
+@query("t_cg_fixed", _cg_sql(4))
+def _(spark, d):
+    w = lap._weighted(rgb(spark, d), [(*o, 1.0) for o in neighbours.box(1)]).filter("i <> j")
+    w = matrix.sum_duplicates(matrix.symmetrised(w))
+    degree = matrix.row_sum(w).select("image_id", "i", F.col("i").alias("j"), (F.col("v") + 1).alias("v"))
+    return images.cg_dataframe(matrix.add(matrix.scaled(w, -1.0), degree), vec(spark, d), 4)[0]
+
+
+@query(
+    "t_vcycle_restrict",
+    sql(
+        f"SELECT image_id, i, {r6('sum(w * v)', 'v')} FROM (SELECT p.image_id, CAST(c.i AS BIGINT) AS i, (2 - abs(dy)) * (2 - abs(dx)) / 16.0::DOUBLE AS w, p.g AS v "
+        f"FROM (SELECT unnest(range({H // 2 * (W // 2)})) AS i) c CROSS JOIN off JOIN rgb p ON p.y = 2 * (c.i // {W // 2}) + dy AND p.x = 2 * (c.i % {W // 2}) + dx) GROUP BY 1, 2",
+        _OFF(1),
+    ),
+)
+def _(spark, d):
+    sizes = rgb(spark, d).groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    return matrix.matvec(matrix.restriction(sizes), vec(spark, d))
+
+
+@query("t_ichol_solve")
+def _(spark, d):
+    a, b = lap.make_linear_system(lap.cf_laplacian(rgb(spark, d)), known(spark, d))
+    return images.solve(a, b, "ichol")
+
+
+# --- alpha and foreground --------------------------------------------------------------------------------------------------------------------------------------------------
+
+
+def _alpha(method: str) -> None:
+    @query(f"t_alpha_{method}")
+    def _(spark, d):
+        return images.estimate_alpha(tri(spark, d), method, **({"laplacian_kwargs": {"radius": 1}} if method == "lkm" else {}))
+
+
+for _m in ("cf", "lkm", "knn", "rw", "lbdm", "sm"):
+    _alpha(_m)
+
+
+@query(
+    "t_expand_trimap",
+    sql(
+        f"SELECT {K}, coalesce(nt, t) AS t FROM tri LEFT JOIN (SELECT p.image_id, p.y, p.x, arg_min(q.t, dy * dy * 1000000 + dx * dx * 1000000 + (dy + 100) * 1000 + dx) AS nt FROM tri p CROSS JOIN off "
+        "JOIN tri q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.t NOT IN (0, 1) AND q.t IN (0, 1) AND dy * dy + dx * dx <= 25 "
+        f"AND sqrt((p.r - q.r) * (p.r - q.r) + (p.g - q.g) * (p.g - q.g) + (p.b - q.b) * (p.b - q.b)) <= 0.15 GROUP BY 1, 2, 3) USING ({K})",
+        _OFF(5),
+    ),
+)
+def _(spark, d):
+    return images.expand_trimap(tri(spark, d), 5, 0.15).select(*KEY, "t")
+
+
+def gathered(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in samples: a brighter foreground and a darker background of each pixel's own colour, channels turned."""
+    turned = dict(zip(RGB, ["g", "b", "r"], strict=True))
+    return tri(spark, d).withColumns({f"f_{c}": (F.col(c) + F.col(turned[c])) / 2 for c in RGB} | {f"b_{c}": F.col(turned[c]) / 2 for c in RGB})
+
+
+_GATHERED = "ga AS (SELECT *, (r + g) / 2 AS f_r, (g + b) / 2 AS f_g, (b + r) / 2 AS f_b, g / 2 AS b_r, b / 2 AS b_g, r / 2 AS b_b FROM tri)"
+
+
+def _sql_alpha(c: str, f: str, b: str) -> str:
+    """Of colour, foreground and background prefixes."""
+    return _clip("(" + " + ".join(f"({c}{k} - {b}{k}) * ({f}{k} - {b}{k})" for k in RGB) + ") / (" + " + ".join(f"({f}{k} - {b}{k}) * ({f}{k} - {b}{k})" for k in RGB) + " + 0.00001::DOUBLE)")
+
+
+@query(
+    "t_sample_refinement",
+    sql(
+        f"SELECT {K}, {r6s(FB)}, {r6('CASE WHEN t IN (0, 1) THEN t ELSE ' + _sql_alpha('', 'f_', 'b_') + ' END', 'alpha')} FROM (SELECT g.image_id, g.y, g.x, g.t, g.r, g.g, g.b, "
+        + ", ".join(f"coalesce(m.{c}, g.{c}) AS {c}" for c in FB)
+        + f" FROM ga g LEFT JOIN (SELECT image_id, y, x, {', '.join(f'sum({c}) / 3.0::DOUBLE AS {c}' for c in FB)} FROM (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY cost, dy, dx) AS k FROM cost) WHERE k <= 3 GROUP BY 1, 2, 3) m USING (image_id, y, x))",
+        _OFF(2), _GATHERED,
+        "pr AS (SELECT p.image_id, p.y, p.x, p.r, p.g, p.b, dy, dx, " + ", ".join(f"q.{c}" for c in FB) + f", {_sql_alpha('p.', 'q.f_', 'q.b_')} AS a FROM ga p CROSS JOIN off JOIN ga q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.t NOT IN (0, 1))",
+        "cost AS (SELECT *, " + " + ".join(f"(a * f_{c} + (1 - a) * b_{c} - {c}) * (a * f_{c} + (1 - a) * b_{c} - {c})" for c in RGB) + " AS cost FROM pr)",
+    ),
+)
+def _(spark, d):
+    return images.sample_refinement(gathered(spark, d), 2)
+
+
+_S1 = repr(25 / (9 * 3.141592653589793))
+
+
+@query(
+    "t_local_smoothing",
+    sql(
+        f"SELECT {K}, {r6s(FB)}, {r6(_sql_alpha('', 'f_', 'b_'), 'alpha')} FROM (SELECT image_id, y, x, any_value(r) AS r, any_value(g) AS g, any_value(b) AS b, "
+        + ", ".join(f"sum(w{c[0]} * {c}) / sum(w{c[0]}) AS {c}" for c in FB)
+        + " FROM sm GROUP BY 1, 2, 3)",
+        _OFF(2), _GATHERED, f"gb AS (SELECT *, CASE WHEN t IN (0, 1) THEN t ELSE {_sql_alpha('', 'f_', 'b_')} END AS al FROM ga)",
+        f"sm AS (SELECT *, greatest(w * aq, 0.00001::DOUBLE) AS wf, greatest(w * (1 - aq), 0.00001::DOUBLE) AS wb FROM (SELECT p.image_id, p.y, p.x, p.r, p.g, p.b, {', '.join(f'q.{c}' for c in FB)}, q.al AS aq, "
+        f"exp(-(dx * dx + dy * dy) / {_S1}::DOUBLE) * CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE abs(p.al - q.al) END AS w FROM gb p CROSS JOIN off JOIN gb q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.t NOT IN (0, 1)))",
+    ),
+)
+def _(spark, d):
+    p = gathered(spark, d)
+    alpha, _ = images.compositing([F.col(c) for c in RGB], [F.col(f"f_{c}") for c in RGB], [F.col(f"b_{c}") for c in RGB])
+    return images.smooth_colours(p.withColumn("alpha", F.when(F.col("t").isin(0.0, 1.0), F.col("t")).otherwise(alpha)), 2)
+
+
+@query("t_sample_gathering")
+def _(spark, d):
+    def run(pdf):
+        image, t = images.as_array(pdf, RGB), images.as_array(pdf, ["t"])
+        f, b, alpha = estimators.sample_gathering(image, t, image[t == 1].mean(axis=0), image[t == 0].mean(axis=0))
+        return images.as_pixels(pdf["image_id"].iloc[0], {f"{p}_{c}": a[:, :, k] for p, a in (("f", f), ("b", b)) for k, c in enumerate(RGB)} | {"alpha": alpha})
+
+    return tri(spark, d).groupBy("image_id").applyInPandas(run, images.FB_SCHEMA + ", alpha double")
+
+
+def _jacobi_sql() -> str:
+    """The pyramid with one update a level, unrolled."""
+    views = ["fs0 AS (SELECT image_id, 0 AS y, 0 AS x, " + ", ".join(f"{c[2:]} AS {c}" for c in FB) + " FROM tri WHERE y = 0 AND x = 0)"]
+    h0, w0 = 1, 1
+    for n, (h, w) in enumerate(estimators.pyramid(H, W)):
+        near = ", ".join(f"{f}({c}, 1, {c}) OVER {o} AS n{k}_{c}" for k, (f, o) in enumerate((("lag", "xs"), ("lead", "xs"), ("lag", "ys"), ("lead", "ys"))) for c in [*FB, "t"])
+        s = " + ".join(f"abs(t - n{k}_t) + 0.00001::DOUBLE" for k in range(4))
+        rhs = lambda a, p, c: f"({a} * {c} + " + " + ".join(f"(abs(t - n{k}_t) + 0.00001::DOUBLE) * n{k}_{p}_{c}" for k in range(4)) + ")"
+        a00, a01, a11 = "(t * t + s)", "(t * (1 - t))", "((1 - t) * (1 - t) + s)"
+        det = f"({a00} * {a11} - {a01} * {a01})"
+        new = ", ".join(
+            [_clip(f"({a11} * {rhs('t', 'f', c)} - {a01} * {rhs('(1 - t)', 'b', c)}) / {det}") + f" AS f_{c}" for c in RGB] + [_clip(f"({a00} * {rhs('(1 - t)', 'b', c)} - {a01} * {rhs('t', 'f', c)}) / {det}") + f" AS b_{c}" for c in RGB]
+        )
+        views += [
+            f"lv{n} AS MATERIALIZED (SELECT p.image_id, CAST(i // {w} AS INT) AS y, CAST(i % {w} AS INT) AS x, p.r, p.g, p.b, p.t, {', '.join(f'q.{c}' for c in FB)} FROM (SELECT unnest(range({h * w})) AS i) g "
+            f"JOIN tri p ON p.y = (i // {w}) * {H} // {h} AND p.x = (i % {w}) * {W} // {w} JOIN fs{n} q ON q.image_id = p.image_id AND q.y = (i // {w}) * {h0} // {h} AND q.x = (i % {w}) * {w0} // {w})",
+            f"nb{n} AS MATERIALIZED (SELECT *, {near} FROM lv{n} WINDOW xs AS (PARTITION BY image_id, y ORDER BY x), ys AS (PARTITION BY image_id, x ORDER BY y))",
+            f"fs{n + 1} AS MATERIALIZED (SELECT image_id, y, x, {new} FROM (SELECT *, {s} AS s FROM nb{n}))",
+        ]
+        h0, w0 = h, w
+    return sql(f"SELECT {K}, {r6s(FB)} FROM fs{len(estimators.pyramid(H, W))}", *views)
+
+
+@query("t_fg_ml_jacobi", _jacobi_sql())
+def _(spark, d):
+    return images.foreground_jacobi(tri(spark, d).withColumn("alpha", F.col("t")), H, W, n_small_iterations=2, n_big_iterations=2)
+
+
+def _foreground(name: str, method: str) -> None:
+    @query(name)
+    def _(spark, d):
+        return images.estimate_foreground(tri(spark, d).withColumn("alpha", F.col("t")), method)
+
+
+for _n, _m in (("t_fg_ml", "ml"), ("t_fg_cf", "cf"), ("t_fg_ml_gpu", "jacobi")):
+    _foreground(_n, _m)
+
+
+def cutout_pixels(p: DataFrame, method: str = "lkm", **options) -> DataFrame:
+    """r, g, b, a as bytes of images with a trimap: alpha, then the multi-level foreground, stacked."""
+    alpha = images.estimate_alpha(p, method, **options)
+    both = p.select(*KEY, *RGB).join(alpha, KEY)
+    fg = images.estimate_foreground(both, "ml").join(alpha, KEY)
+    return fg.select(*KEY, *(pixels.to_byte(F.col(f"f_{c}")).alias(c) for c in RGB), pixels.to_byte(F.col("alpha")).alias("a"))
+
 
+@query("t_cutout")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return cutout_pixels(tri(spark, sf_dir), "lkm", laplacian_kwargs={"radius": 1})

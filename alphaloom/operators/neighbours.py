@@ -26,9 +26,9 @@ def _table(offsets: Sequence[tuple]) -> Column:
     return F.array(*rows)
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Adds h and w of each image; the sizes are aggregated by image and joined back."""
-    sizes = df.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+def sized(df: DataFrame, h: str = "h", w: str = "w") -> DataFrame:
+    """Adds height and width of each image; the sizes are aggregated by image and joined back."""
+    sizes = df.groupBy("image_id").agg((F.max("y") + 1).alias(h), (F.max("x") + 1).alias(w))
     return df.join(sizes, "image_id")
 
 
@@ -38,16 +38,16 @@ def neighbours(df: DataFrame, offsets: Sequence[tuple], values: Sequence[str], p
     policy: skip (neighbours outside are left out), clamp (they are the nearest inside, repeats kept), interior (only pixels that have all neighbours).
     """
     reach = max(max(abs(o[0]), abs(o[1])) for o in offsets)
-    own = sized(df) if policy in ("clamp", "interior") else df
+    own = sized(df, "_h", "_w") if policy in ("clamp", "interior") else df
     if policy == "interior":
-        own = own.filter(F.col("y").between(reach, F.col("h") - 1 - reach) & F.col("x").between(reach, F.col("w") - 1 - reach))
+        own = own.filter(F.col("y").between(reach, F.col("_h") - 1 - reach) & F.col("x").between(reach, F.col("_w") - 1 - reach))
     fan = own.withColumn("_o", F.explode(_table(offsets))).select("*", "_o.*").drop("_o")
     ny, nx = F.col("y") + F.col("dy"), F.col("x") + F.col("dx")
     if policy == "clamp":
-        ny, nx = F.greatest(F.lit(0), F.least(F.col("h") - 1, ny)), F.greatest(F.lit(0), F.least(F.col("w") - 1, nx))
+        ny, nx = F.greatest(F.lit(0), F.least(F.col("_h") - 1, ny)), F.greatest(F.lit(0), F.least(F.col("_w") - 1, nx))
     fan = fan.withColumns({"ny": ny, "nx": nx})
     if policy in ("clamp", "interior"):
-        fan = fan.drop("h", "w")
+        fan = fan.drop("_h", "_w")
     other = df.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), *(F.col(v).alias(f"n_{v}") for v in values))
     return fan.join(other, ["image_id", "ny", "nx"])
 

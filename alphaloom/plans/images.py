@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql.window import Window
 from alphaloom.operators import matrix
 from alphaloom.operators.neighbours import box, neighbours, resize
 from alphaloom.plans import estimators
+from alphaloom.sources.tables import written
 
 RGB = ["r", "g", "b"]
 
@@ -74,31 +74,23 @@ def solve(coo: DataFrame, b: DataFrame, preconditioner: str = "jacobi", **option
     return coo.groupBy("image_id").cogroup(b.groupBy("image_id")).applyInPandas(run, "image_id long, i long, v double")
 
 
-def cg_dataframe(coo: DataFrame, b: DataFrame, iterations: int, rtol: float = 0.0, every: int = 5, shared: str | None = None) -> tuple[DataFrame, list[float]]:
+def cg_dataframe(coo: DataFrame, b: DataFrame, iterations: int, rtol: float = 0.0) -> tuple[DataFrame, list[float]]:
     """Jacobi-preconditioned conjugate gradients of one system whose vectors are DataFrames: (x, the residual norms).
 
-    An iteration is one matrix-vector product (a join and an aggregate, both on the matrix's own keys) and two one-row aggregates. Every few iterations the state is written
-    to the shared folder of the cluster, which cuts the lineage and survives lost executors.
+    An iteration is one matrix-vector product (a join and an aggregate, both on the matrix's own keys), whose result is written to the shared folder with the state, and two
+    one-row aggregates of that table. The matrix too is written once, so that no iteration's plan holds another's.
     """
-    spark = coo.sparkSession
-    folder = shared or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/alphaloom"
+    coo = written(coo, "matrix")
     diag = matrix.diag(coo).select("image_id", "i", F.col("v").alias("d"))
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{folder.rstrip('/')}/cg-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     state = b.join(diag, ["image_id", "i"]).select("image_id", "i", "d", F.lit(0.0).alias("x"), F.col("v").alias("r"), (F.col("v") / F.col("d")).alias("p"))
-    state = cut(state)
+    state = written(state, "cg")
     start = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("n")).first()
     rz, norm_b, norms = start.rz or 0.0, start.n or 0.0, [start.n or 0.0]
-    for k in range(iterations):
+    for _ in range(iterations):
         if norms[-1] == 0 or norms[-1] < rtol * norm_b:
             break
         q = matrix.matvec(coo, state.select("image_id", "i", F.col("p").alias("v"))).withColumnRenamed("v", "q")
-        with_q = state.join(q, ["image_id", "i"], "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
-        with_q = cut(with_q) if k % every == 0 else with_q
+        with_q = written(state.join(q, ["image_id", "i"], "left").withColumn("q", F.coalesce("q", F.lit(0.0))), "cg")
         step = rz / with_q.agg(F.sum(F.col("p") * F.col("q")).alias("s")).first().s
         moved = with_q.select("image_id", "i", "d", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p")
         got = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("n")).first()
@@ -189,13 +181,14 @@ def foreground_jacobi_step(pixels: DataFrame, regularization: float = 1e-5) -> D
 
 
 def foreground_jacobi(pixels: DataFrame, height: int, width: int, regularization: float = 1e-5, n_small_iterations: int = 10, n_big_iterations: int = 2, small_size: int = 32) -> DataFrame:
-    """estimators.estimate_foreground_ml_jacobi as a plan, for images of one size."""
+    """estimators.estimate_foreground_ml_jacobi as a plan, for images of one size. Every level is written, so that no plan holds the levels below it."""
     fb = [f"{p}_{c}" for p in "fb" for c in RGB]
+    pixels = written(pixels.select("image_id", "y", "x", *RGB, "alpha"), "pixels")
     first = pixels.filter((F.col("y") == 0) & (F.col("x") == 0))
     state = first.select("image_id", "y", "x", *(F.col(c[2:]).alias(c) for c in fb))
     for h, w in estimators.pyramid(height, width):
         level = resize(pixels, h, w, [*RGB, "alpha"]).join(resize(state, h, w, fb), ["image_id", "y", "x"])
         for _ in range((n_small_iterations if min(h, w) <= small_size else n_big_iterations) - 1):
             level = foreground_jacobi_step(level, regularization)
-        state = level.select("image_id", "y", "x", *fb)
+        state = written(level.select("image_id", "y", "x", *fb), "level")
     return state

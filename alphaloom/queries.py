@@ -122,9 +122,9 @@ def _(spark, d):
 @query(
     "t_make_grid",
     sql(
-        f"""SELECT 0::BIGINT AS image_id, CAST(g // (nx * {W}) AS INT) AS y, CAST(g % (nx * {W}) AS INT) AS x, round(coalesce(r, 0.0::DOUBLE), 6) + 0.0 AS r
-        FROM (SELECT nx, unnest(range(ny * {H} * nx * {W})) AS g FROM (SELECT nx, (n + nx - 1) // nx AS ny FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS nx FROM (SELECT count(DISTINCT image_id) AS n FROM rgb)))) d
-        LEFT JOIN rgb ON image_id = (g // (nx * {W})) // {H} * nx + (g % (nx * {W})) // {W} AND rgb.y = (g // (nx * {W})) % {H} AND rgb.x = (g % (nx * {W})) % {W}"""
+        f"""SELECT 0::BIGINT AS image_id, CAST(cell // (nx * {W}) AS INT) AS y, CAST(cell % (nx * {W}) AS INT) AS x, round(coalesce(r, 0.0::DOUBLE), 6) + 0.0 AS r
+        FROM (SELECT nx, unnest(range(ny * {H} * nx * {W})) AS cell FROM (SELECT nx, (n + nx - 1) // nx AS ny FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS nx FROM (SELECT count(DISTINCT image_id) AS n FROM rgb)))) d
+        LEFT JOIN rgb ON image_id = (cell // (nx * {W})) // {H} * nx + (cell % (nx * {W})) // {W} AND rgb.y = (cell // (nx * {W})) % {H} AND rgb.x = (cell % (nx * {W})) % {W}"""
     ),
 )
 def _(spark, d):

@@ -13,6 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from alphaloom.llm.common import table, written
@@ -113,7 +114,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         some = hit.select("doc_id", "n", F.lit(k).alias("k"), begin.alias("start"), F.slice("ws", begin + 1, F.col("n")).alias("ws"))
         found = some if found is None else found.unionAll(some)
     if found is None:
-        return docs.sparkSession.createDataFrame([], docs.select(F.col("doc_id")).join(benchmark.select("item_id")).schema.add("similarity", "double").add("start", "int").add("hamming", "int"))
+        ids = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType)]
+        return docs.sparkSession.createDataFrame([], T.StructType([*ids, T.StructField("similarity", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("hamming", T.IntegerType())]))
 
     windows = found.distinct().select("doc_id", "n", "start", shingles(F.col("ws"), F.col("k")).alias("sh")).withColumn("fp", fingerprint(F.col("sh")))
     windows = written(windows, "windows")

@@ -142,27 +142,35 @@ def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
 
 
 def parse(data: bytes) -> Stream:
-    """Walks tags and frames. Where no frame starts, it goes on to the next place at which a header is followed by another like it, or by the end."""
+    """Walks tags and frames. A frame is a header that is followed by another like it, a tag or the end, or that stands where one was due; else the next place is tried."""
     tags: dict[str, str] = {}
     info, toc, offsets, samples, hertz, rates, right, wrong, skipped = None, [], [], 0, 0, set(), 0, 0, 0
     end = len(data)
     if data[-128:-125] == b"TAG":
         end -= 128
         tags |= {k: v for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)) if (v := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip())}
-    at, first, sure = 0, True, False
+    at, first, sure, leads = 0, True, False, False
+    last: Header | None = None
     checked: dict[bytes, int] = {}
     known: dict[bytes, Header | None] = {}
+
+    def seen(place: int) -> Header | None:
+        key = data[place : place + 4]
+        if key not in known:
+            known[key] = header(data, place)
+        return known[key]
+
+    def like(a: Header | None, b: Header | None) -> bool:
+        return a is not None and b is not None and a[:2] == b[:2] and a.hertz == b.hertz
+
     while at < end:
         if (after := _id3v2(data, at, tags)) > at:
             at = after
             continue
-        if (key := data[at : at + 4]) not in known:
-            known[key] = header(data, at)
-        h = known[key]
-        if h and at + h.length <= end and not sure:  # a header alone may be chance
-            n = at + h.length
-            follows = header(data, n)
-            if n < end and not (follows and (follows.version, follows.layer, follows.hertz) == (h.version, h.layer, h.hertz)) and data[n : n + 3] not in (b"ID3", b"TAG"):
+        h = seen(at)
+        if h and (n := at + h.length) <= end:
+            leads = n == end or like(seen(n), h) or data[n : n + 3] in (b"ID3", b"TAG")
+            if not leads and not (sure and like(h, last)):  # a header alone may be chance; where one was due, damage may follow
                 h = None
         if not h or at + h.length > end:
             sync = data.find(b"\xff", at + 1, end)
@@ -193,7 +201,7 @@ def parse(data: bytes) -> Stream:
             offsets.append(at)
             samples, hertz = samples + h.samples, h.hertz
             rates.add(h.kbps)
-        first, sure, at = False, True, at + h.length
+        first, sure, last, at = False, leads, h, at + h.length
     return Stream(tags, info, toc, offsets, samples, hertz, sorted(rates), (right, wrong), skipped)
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes, which bounds what a worker holds besides a batch. At the end, what Arrow's pool keeps unused goes back to the system:
+    workers outlive their tasks."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(most, batch.nbytes))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def id_text(column: Column) -> Column:
     """An id as text; null as empty text."""
     return F.coalesce(column.cast("string"), F.lit(""))

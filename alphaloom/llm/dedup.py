@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.llm import shingles
-from alphaloom.llm.common import table, written
+from alphaloom.llm.common import in_parts, table, written
 
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -24,7 +24,7 @@ LEAST_ESTIMATE = 0.69
 #: Ids of candidates up to this count are broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bytes of shingle sets in one block of a bucket.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 SKETCH = "doc_id long, n_shingles long, key binary, bands array<long>, registers binary"
 
@@ -34,7 +34,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         ids, texts = batch.column(0), _texts(batch.column(1))
         for at, some in shingles.in_groups(texts):
             sets = shingles.shingle_sets(some)
@@ -57,7 +57,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         for _, some in shingles.in_groups(_texts(batch.column(0))):
             sets = shingles.shingle_sets(some)
             yield pa.RecordBatch.from_arrays([pa.array([shingles.digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import fold, sample_rate, table
+from alphaloom.llm.common import fold, in_parts, sample_rate, table
 
 #: Closely related languages. A language that stands in none is a family of its own.
 FAMILIES = {
@@ -66,17 +66,19 @@ def vector(text: str | None) -> np.ndarray | None:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 8.0, passes: int = 12) -> np.ndarray:
     """Weights of a linear support vector machine (squared hinge loss), by dual coordinate descent; y: -1 and 1. The last weight is the bias."""
-    x = np.hstack((x, np.ones((len(x), 1), np.float32)))
-    w, alpha, norm = np.zeros(x.shape[1], np.float64), np.zeros(len(x)), (x.astype(np.float64) ** 2).sum(axis=1) + 0.5 / c
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(x))
+    norm = np.array([float(v @ v) for v in x]) + 1 + 0.5 / c  # the bias is a feature that is always 1
     rng = np.random.default_rng(7)
     for _ in range(passes):
         for i in rng.permutation(len(x)):
-            grad = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / c
+            grad = y[i] * (x[i] @ w + bias) - 1 + alpha[i] * 0.5 / c
             new = max(alpha[i] - grad / norm[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * x[i]
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w, bias)
 
 
 def _slope(margins: np.ndarray, y: np.ndarray) -> float:
@@ -137,7 +139,7 @@ class Model:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             if (v := vector(text.as_py())) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([v.astype(np.float16).tobytes()], pa.binary())], names=["lang", "v"])
@@ -173,7 +175,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             got = [model.predict(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -185,7 +187,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, every column, whose language could be determined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             keep = [model.predict(x.as_py())[0] != UNDETERMINED for x in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

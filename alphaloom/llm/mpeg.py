@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import table
+from alphaloom.llm.common import in_parts, table
 
 UNIT = 576
 PAD = b"\xff"
@@ -228,20 +228,12 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id and media, the document's stream. A null text counts as empty; other columns are left out; every row gives one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in _small(batch):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([encode(*padded(x.as_py())) for x in rows.column(1)], pa.binary())], names=["doc_id", "media"])
+        for rows in in_parts(batches):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([encode(*padded(x.as_py())) for x in rows.column(1)], pa.binary())], names=["doc_id", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MEDIA)
 
 
-def _small(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """In parts of about so many bytes: bounds what a worker holds besides the batch."""
-    rows = max(1, batch.num_rows * most // max(most, batch.nbytes))
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 FEATURES = "doc_id long, duration_s double, n_frames long, hertz int, kbps array<int>, checksums_right long, checksums_wrong long, skipped_bytes long, tags map<string,string>, seek_offsets array<long>"
 
 
@@ -249,14 +241,13 @@ def describe(media: DataFrame) -> DataFrame:
     """Of each stream (doc_id, media): exact duration, frames, checksums, tags and the offset of every frame. Null or broken media have no frames and duration 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in _small(batch):
-                out = []
-                for doc_id, x in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                    s = parse(x.as_py() or b"")
-                    out.append((doc_id, s.samples / s.hertz if s.hertz else 0.0, len(s.offsets), s.hertz, s.kbps, *s.checksums, s.skipped, list(s.tags.items()), s.offsets))
-                types = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
+        for rows in in_parts(batches):
+            out = []
+            for doc_id, x in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                s = parse(x.as_py() or b"")
+                out.append((doc_id, s.samples / s.hertz if s.hertz else 0.0, len(s.offsets), s.hertz, s.kbps, *s.checksums, s.skipped, list(s.tags.items()), s.offsets))
+            types = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, FEATURES)
 
@@ -269,16 +260,15 @@ def digests(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
-            for rows in _small(batch):
-                out = []
-                for doc_id, x in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                    media = encode(*padded(x.as_py()))
-                    s = parse(media)
-                    payload = payload_of(media, s)
-                    feature = f"frames={len(s.offsets)};samples={s.samples};hertz={s.hertz};kbps={','.join(map(str, s.kbps))};checksums={s.checksums[0]}/{s.checksums[1]};seek={s.offsets[0]}-{s.offsets[-1]};skipped={s.skipped}"
-                    out.append((doc_id, int(s.tags["TXXX:n_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
+        for rows in in_parts(batches):
+            out = []
+            for doc_id, x in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                media = encode(*padded(x.as_py()))
+                s = parse(media)
+                payload = payload_of(media, s)
+                feature = f"frames={len(s.offsets)};samples={s.samples};hertz={s.hertz};kbps={','.join(map(str, s.kbps))};checksums={s.checksums[0]}/{s.checksums[1]};seek={s.offsets[0]}-{s.offsets[-1]};skipped={s.skipped}"
+                out.append((doc_id, int(s.tags["TXXX:n_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
 

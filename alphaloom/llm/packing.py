@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import table, written
+from alphaloom.llm.common import in_parts, table, written
 
 CAPACITY = 4096
 #: Appended to every document.
@@ -31,7 +31,7 @@ OPEN = 256
 SLACK = 4
 #: Pieces that a partition packs at a time: bounds its memory.
 BLOCK = 50_000
-#: Words, and chunks between white space, whose ids a worker remembers, and the longest of them.
+#: Words, and chunks between white space, whose ids a task remembers, and the longest of them.
 REMEMBERED, LONGEST = 500_000, 40
 
 STATE = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, node long, open boolean"
@@ -112,9 +112,12 @@ class Encoder:
                 yield self.whole(text)
             else:
                 yield b"".join(map(self.chunks.__getitem__, text.lower().split()))
-                for known in (self.words, self.chunks):
-                    if len(known) > REMEMBERED:
-                        known.clear()
+                if max(len(self.words), len(self.chunks)) > REMEMBERED:
+                    self.forget()
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.chunks.clear()
 
 
 @lru_cache(maxsize=2)
@@ -167,7 +170,7 @@ def _first(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
         items, used = [], 0
-        for batch in batches:
+        for batch in in_parts(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(x.as_py() for x in batch.column(1)), strict=True):
                 ids += END.to_bytes(4, "little")
                 n = len(ids) // 4
@@ -179,6 +182,7 @@ def _first(path: str, capacity: int):
                     used, items = used + len(items), []
         if items:
             yield settle(items, (partition << 32) + used, partition // FAN_IN, capacity, False)
+        encoder(path).forget()  # workers outlive their tasks
 
     return run
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.llm import shingles
-from alphaloom.llm.common import fold, sample_rate, table
+from alphaloom.llm.common import fold, in_parts, sample_rate, table
 
 #: Labelled rows that the model is fitted on, on average at most.
 TRAINING_ROWS = 20_000
@@ -174,7 +174,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         x = features(_bytes(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
 
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             p = model.score(features(_bytes(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

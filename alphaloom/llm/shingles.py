@@ -9,7 +9,7 @@ import numpy as np
 #: Words of a shingle.
 WORDS = 5
 #: Bytes of text that are hashed at a time, give or take a word.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _MASK = (1 << 64) - 1

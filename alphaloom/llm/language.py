@@ -64,18 +64,19 @@ def vector(text: str | None) -> np.ndarray | None:
     return (v / np.linalg.norm(v)).astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 8.0, passes: int = 12) -> np.ndarray:
-    """Weights of a linear support vector machine (squared hinge loss), by dual coordinate descent; y: -1 and 1. The last weight is the bias."""
-    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(x))
-    norm = np.array([float(v @ v) for v in x]) + 1 + 0.5 / c  # the bias is a feature that is always 1
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 8.0, passes: int = 12) -> np.ndarray:
+    """Weights of a linear support vector machine (squared hinge loss) over some rows of x, by dual coordinate descent; y: -1 and 1. The last weight is the bias."""
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows))
+    norm = np.array([float(x[k] @ x[k]) for k in rows]) + 1 + 0.5 / c  # the bias is a feature that is always 1
     rng = np.random.default_rng(7)
     for _ in range(passes):
-        for i in rng.permutation(len(x)):
-            grad = y[i] * (x[i] @ w + bias) - 1 + alpha[i] * 0.5 / c
+        for i in rng.permutation(len(rows)):
+            v = x[rows[i]]
+            grad = y[i] * (v @ w + bias) - 1 + alpha[i] * 0.5 / c
             new = max(alpha[i] - grad / norm[i], 0.0)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w += step * x[i]
+                w += step * v
                 bias += step
                 alpha[i] = new
     return np.append(w, bias)
@@ -97,15 +98,16 @@ class Machines:
     slopes: list[float] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, x: np.ndarray, names: np.ndarray) -> Machines:
+    def fit(cls, x: np.ndarray, rows: np.ndarray, names: np.ndarray) -> Machines:
+        """names: of the rows of x in rows. No row is copied, so that the driver holds x once."""
         order = sorted(set(names.tolist()))
         weights, slopes = [], []
         for a, b in combinations(order, 2):
-            rows = (names == a) | (names == b)
-            y = np.where(names[rows] == a, 1.0, -1.0)
-            w = svm(x[rows], y)
+            of = (names == a) | (names == b)
+            own, y = rows[of], np.where(names[of] == a, 1.0, -1.0)
+            w = svm(x, own, y)
             weights.append(w)
-            slopes.append(_slope(x[rows] @ w[:-1] + w[-1], y))
+            slopes.append(_slope(np.array([x[k] @ w[:-1] for k in own]) + w[-1], y))
         return cls(order, np.array(weights, np.float32).reshape(-1, x.shape[1] + 1), slopes)
 
     def choose(self, v: np.ndarray) -> tuple[str, float]:
@@ -157,14 +159,17 @@ def train(docs: DataFrame) -> Model:
     rate = F.lit(0.0)
     for lang, share in sorted(rates.items()):
         rate = F.when(F.col("lang") == lang, F.lit(share)).otherwise(rate)
-    some = known.filter(sample_rate(F.col("doc_id"), rate, "language")).select("lang", "text").mapInArrow(_vectors, "lang string, v binary").toPandas()
-    if some.empty:
+    some = known.filter(sample_rate(F.col("doc_id"), rate, "language")).select("lang", "text").mapInArrow(_vectors, "lang string, v binary").toArrow()
+    rows = sorted(zip(some["lang"].to_pylist(), some["v"].to_pylist(), strict=True))  # whatever order they came in
+    del some
+    if not rows:
         return Model()
-    some = some.sort_values(["lang", "v"])  # whatever order the rows came in
-    x = np.frombuffer(b"".join(some["v"]), np.float16).reshape(-1, SIZE).astype(np.float32)
-    langs = some["lang"].to_numpy()
-    of = np.array([family(n) for n in langs])
-    return Model(Machines.fit(x, of), {f: Machines.fit(x[of == f], langs[of == f]) for f in sorted(set(of.tolist()))})
+    langs, x = np.array([r[0] for r in rows]), np.empty((len(rows), SIZE), np.float32)
+    for k, (_, v) in enumerate(rows):
+        x[k] = np.frombuffer(v, np.float16)
+    del rows
+    of, all_rows = np.array([family(n) for n in langs]), np.arange(len(langs))
+    return Model(Machines.fit(x, all_rows, of), {f: Machines.fit(x, all_rows[of == f], langs[of == f]) for f in sorted(set(of.tolist()))})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

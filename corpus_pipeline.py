@@ -15,11 +15,16 @@ from alphaloom.llm.common import table, written
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among ids (doc_id, each once)."""
-    ids = written(ids.select(F.col("doc_id").alias("_gone")), "gone")
-    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(near, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of each row, written. Ids may be null or repeat with other texts: decisions are on rows."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered rows whose number is not among gone (_row, each once), without the number."""
+    gone = written(gone.select(F.col("_row").alias("_gone")), "gone")
+    near = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(near, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +33,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least id stays; of rows that repeat an id with the same text, one."""
-    found = written(dedup.near_duplicates(docs), "near")
-    out = _without(docs, found.filter(~F.col("kept")).select("doc_id").distinct())
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    again = written(again, "again")
-    if again.isEmpty():
-        return out
-    once = _without(out, again)
-    twice = out.join(again.withColumnRenamed("doc_id", "_again"), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(twice)
+    """Of each component one row stays: of the least id, an id before none, and of rows that share it one. Texts without words are in no component; of rows that repeat such
+    a text and the id, one stays."""
+    rows = _numbered(docs)
+    found = dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    blank = F.when(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.struct(F.lit(1).alias("x"), "text"))
+    named = rows.select("_row", "doc_id", F.xxhash64("text").alias("hash"), blank.alias("blank")).join(found, "_row")
+    lone = F.col("n_shingles") == 0
+    group = [F.when(~lone, F.col("component_id")).alias("component"), F.when(lone, F.struct("doc_id", "blank")).alias("same")]
+    named = written(named.select("_row", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "hash", "_row").alias("rank"), *group), "near")
+    stays = named.groupBy("component", "same").agg(F.min("rank").alias("least")).select("least._row")
+    return _without(rows, named.select("_row").join(stays, "_row", "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    """Rows that hold a benchmark item go."""
+    rows = _numbered(docs)
+    found = decontam.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.select(F.col("doc_id").alias("_row")).distinct())
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

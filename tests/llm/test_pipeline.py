@@ -66,6 +66,35 @@ def test_repeated_rows(spark, small):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()) == [1, 3]
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], SCHEMA)
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_null_and_repeated_ids_in_near_dedup(spark, small):
+    letters = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    near = letters("n", 80)
+    rows = [(1, letters("a")), (None, letters("a")), (None, letters("b")), (None, near), (None, near + " more"), (7, letters("c")), (7, letters("d")), (5, letters("d")), (None, None), (None, None), (None, "")]
+    got = kept(corpus_pipeline.near_dedup(spark, frame(spark, rows), small))
+    one = [x for x in got if x[1] and x[1].startswith(near)]
+    assert len(one) == 1 and one[0][0] is None  # near copies, all without an id
+    assert [x for x in got if x not in one] == sorted([(1, letters("a")), (None, letters("b")), (7, letters("c")), (5, letters("d")), (None, None), (None, "")], key=str)
+
+
+def test_null_and_repeated_ids_in_decontaminate(spark, small, tmp_path):
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before {item} after"), (None, "clean text without an id"), (3, item), (3, "clean text of the same id"), (4, None), (None, None)]
+    got = kept(corpus_pipeline.decontaminate(spark, frame(spark, rows), str(tmp_path)))
+    assert got == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
 def test_run(spark, small, stages):
     got = corpus_pipeline.run(spark, small).toPandas()
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -1,10 +1,10 @@
-"""Benchmark decontamination: fingerprints of item-sized windows of documents, matched within a Hamming radius and verified by weighted shingles.
+"""Benchmark decontamination: item-sized windows of documents that hold a seed shingle of an item, verified exactly by weighted shingles.
 
 1. Seeds: of each item the fewest, heaviest shingles whose weight together exceeds the share that a similar window may lack. A window that reaches the threshold holds one
-   of them, so only the item-sized windows that a seed's place in a document implies are looked at; none that could pass is lost.
-2. SimHash: 64 weighted bits of each such window and of each item. Fingerprints within RADIUS agree in one of four blocks of 16 bits up to RADIUS // 4 bits; items stand in
-   the index under every block value that near, so that an equi-join on (item length, block, value) finds all of them.
-3. Verification: the weighted Jaccard similarity of the two shingle sets, a shingle weighing as many as its words have letters.
+   of them, wherever it stands in the window, so that all item-sized windows around each place of a seed are looked at and none that could pass is lost.
+2. Verification: the weighted Jaccard similarity of the two shingle sets, a shingle weighing as many as its words have letters, of all these windows by sliding sums.
+3. SimHash: 64 weighted bits of the item and of its most similar window. Their Hamming distance is given, but rejects nothing: edits in heavy shingles cost more bits than
+   any radius with a small index allows. The seeds find all that an index of fingerprints within RADIUS could add.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ BLOCKS, BITS = 4, 16
 #: Item-side tables of at most so many rows are broadcast (under 100 bytes a row); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
-#: Block values at most RADIUS // BLOCKS bits away, as masks.
+#: Block values at most RADIUS // BLOCKS bits away, as masks: an index of fingerprints within RADIUS. No result depends on it.
 MASKS = [sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BITS), k)]
 
 
@@ -75,60 +75,115 @@ def items(benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("fp", fingerprint(F.col("sh")))
 
 
+def number(of: DataFrame) -> DataFrame:
+    """item: a number of each row of items()."""
+    return of.withColumn("item", F.xxhash64("item_id", "ws"))
+
+
 def seeds(of: DataFrame) -> DataFrame:
-    """h, n, k, offset: the places in items of length n of the shingles that stand for them."""
-    each = of.select("item_id", "ws", "n", "k", F.explode("sh").alias("s")).select("item_id", "ws", "n", "k", "s.h", "s.w")
-    item = Window.partitionBy("item_id", "ws")
+    """h, k, n, item: the shingles that stand for each item."""
+    each = number(of).select("item", "n", "k", F.explode("sh").alias("s")).select("item", "n", "k", "s.h", "s.w")
+    item = Window.partitionBy("item")
     before = F.sum("w").over(item.orderBy(F.col("w").desc(), "h").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = each.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_all", F.sum("w").over(item)).filter(F.col("_before") <= (1 - THRESHOLD) * F.col("_all"))
-    places = chosen.select("h", "n", "k", "ws", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))).alias("offset"))
-    return places.filter(F.xxhash64(F.slice("ws", F.col("offset") + 1, F.col("k"))) == F.col("h")).select("h", "n", "k", "offset").distinct()
+    chosen = each.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_all", F.sum("w").over(item)).filter(F.col("_before") <= (1 - THRESHOLD) * F.col("_all") + 1e-6 * F.col("_all"))
+    return chosen.select("h", "k", "n", "item")
 
 
 def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _key(n: Column, block: Column, value: Column) -> Column:
-    return n.cast("long") * (BLOCKS << BITS) + block.cast("long") * (1 << BITS) + value.cast("long")
+def best_window(region: Column, k: Column, n: Column, item: Column) -> Column:
+    """The most similar of all windows of n words in region, as struct<similarity, at>; of equal ones the first. item: the item's shingles.
+
+    Sums slide: a shingle leaves unless it stands in the window again, and one that enters counts unless it stands there already.
+    """
+    part = lambda i: F.slice(region, i + 1, k)
+    places = F.sequence(F.lit(0), F.size(region) - k)
+    hs = F.transform(places, lambda i: F.xxhash64(part(i)))
+    wanted, total = F.transform(item, lambda x: x["h"]), weight(item)
+
+    def described(hs: Column) -> Column:
+        once = F.size(F.array_distinct(hs)) == F.size(hs)
+
+        def one(i: Column) -> Column:
+            h = F.get(hs, i)
+            w = F.length(F.array_join(part(i), "")).cast("long")
+            back = F.when(once, 0).otherwise(F.array_position(F.reverse(F.slice(hs, F.lit(1), i)), h))
+            on = F.when(once, 0).otherwise(F.array_position(F.slice(hs, i + 2, F.size(hs)), h))
+            near = lambda x, y, none: F.when(x == 0, none).otherwise(y).cast("long")
+            return F.struct(w.alias("w"), F.when(F.array_contains(wanted, h), w).otherwise(F.lit(0).cast("long")).alias("m"), near(back, i - back, -1).alias("before"), near(on, i + on, 1 << 31).alias("after"))
+
+        return F.transform(places, one)
+
+    def slide(e: Column) -> Column:
+        last = n - k
+        similar = lambda both, own: both / (own + total - both)
+        zero = F.lit(0).cast("long")
+        first = F.filter(F.slice(e, F.lit(1), last + 1), lambda x: x["after"] > last)
+        both, own = F.aggregate(first, zero, lambda t, x: t + x["m"]), F.aggregate(first, zero, lambda t, x: t + x["w"])
+        state = lambda both, own, best, at: F.struct(both.alias("both"), own.alias("own"), best.cast("double").alias("best"), at.cast("int").alias("at"))
+
+        def step(t: Column, i: Column) -> Column:
+            out, into = F.get(e, i - 1), F.get(e, i + last)
+            goes, comes = out["after"] > i - 1 + last, into["before"] < i
+            moved = lambda f: t["both" if f == "m" else "own"] - F.when(goes, out[f]).otherwise(zero) + F.when(comes, into[f]).otherwise(zero)
+            b, o = moved("m"), moved("w")
+            better = similar(b, o) > t["best"]
+            return state(b, o, F.when(better, similar(b, o)).otherwise(t["best"]), F.when(better, i).otherwise(t["at"]))
+
+        more = F.filter(F.sequence(F.lit(0), F.size(region) - n), lambda i: i > 0)
+        return F.get(F.transform(F.array(F.struct(both.alias("b"), own.alias("o"))), lambda x: F.aggregate(more, state(x["b"], x["o"], similar(x["b"], x["o"]), F.lit(0)), step)), F.lit(0))
+
+    # A lambda's variable is evaluated once, an expression wherever it stands.
+    found = F.get(F.transform(F.array(hs), lambda x: F.get(F.transform(F.array(described(x)), slide), F.lit(0))), F.lit(0))
+    return F.struct(found["best"].alias("similarity"), found["at"].alias("at"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, start (word of the most similar window), hamming: a row for each pair that reaches THRESHOLD in some window within RADIUS.
+    """doc_id, item_id, similarity, start (word of the most similar window, of equal ones the first), hamming: a row for each pair that reaches THRESHOLD in some window.
 
     A window has as many words as the item, or the whole document if that is shorter. Null and empty texts, and items without words, are in no pair. Repeated documents or
-    items give one pair; null ids count as ids. Empty tables give no rows; other columns are left out. Windows of one document are made distinct by document, so a
-    passage that many share leads to no hot group.
+    items give one pair; null ids count as ids, and texts under one id are looked at each by itself. Empty tables give no rows; other columns are left out.
     """
     bench = written(items(benchmark), "items")
     start = written(seeds(bench), "seeds")
     n_items, n_seeds = bench.count(), start.count()
     sizes = [r.k for r in bench.select("k").distinct().collect()]  # at most WORDS
-    text = docs.select("doc_id", words(F.col("text")).alias("ws")).withColumn("_n", F.size("ws"))
+    text = docs.select("doc_id", F.xxhash64("text").alias("own"), words(F.col("text")).alias("ws")).withColumn("_n", F.size("ws"))
     found = None
     for k in sizes:
-        at = text.select("doc_id", "ws", "_n", F.posexplode("ws").alias("pos", "_w")).filter(F.col("pos") <= F.col("_n") - k)
+        at = text.select("doc_id", "own", "ws", "_n", F.posexplode("ws").alias("pos", "_w")).filter(F.col("pos") <= F.col("_n") - k)
         at = at.withColumn("h", F.xxhash64(*(F.get("ws", F.col("pos") + i) for i in range(k))))
-        hit = at.join(_near(start.filter(F.col("k") == k).drop("k"), n_seeds), "h")
-        begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("_n") - F.col("n")))
-        some = hit.select("doc_id", "n", F.lit(k).alias("k"), begin.alias("start"), F.slice("ws", begin + 1, F.col("n")).alias("ws"))
+        some = at.join(_near(start.filter(F.col("k") == k), n_seeds), "h").select("doc_id", "own", "_n", "item", "n", "k", "pos")
         found = some if found is None else found.unionAll(some)
     if found is None:
         ids = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType)]
         return docs.sparkSession.createDataFrame([], T.StructType([*ids, T.StructField("similarity", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("hamming", T.IntegerType())]))
 
-    windows = found.distinct().select("doc_id", "n", "start", shingles(F.col("ws"), F.col("k")).alias("sh")).withColumn("fp", fingerprint(F.col("sh")))
-    windows = written(windows, "windows")
-    number = F.xxhash64("item_id", "ws")
-    index = bench.select(number.alias("item"), "n", F.posexplode("fp").alias("block", "value")).withColumn("mask", F.explode(F.array(*map(F.lit, MASKS))))
-    index = index.select(_key(F.col("n"), F.col("block"), F.col("value").bitwiseXOR(F.col("mask"))).alias("key"), "item")
-    probes = windows.select("*", F.posexplode("fp").alias("block", "value")).withColumn("key", _key(F.col("n"), F.col("block"), F.col("value")))
-    bodies = bench.select(number.alias("item"), "item_id", F.col("sh").alias("ish"), F.col("fp").alias("ifp"))
-    pairs = probes.join(_near(index, n_items * BLOCKS * len(MASKS)), "key").join(_near(bodies, n_items), "item")
-    pairs = pairs.withColumn("hamming", distance(F.col("fp"), F.col("ifp"))).filter(F.col("hamming") <= RADIUS)
-    pairs = pairs.withColumn("similarity", F.round(similarity(F.col("sh"), F.col("ish")), 6)).filter(F.col("similarity") >= THRESHOLD)
-    best = F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"))).alias("b")
-    return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.similarity", (-F.col("b.s")).alias("start"), (-F.col("b.h")).alias("hamming"))
+    # Every window that holds a seed, under the first seed in it: from lo to hi.
+    hits = found.distinct()
+    before = F.lag("pos").over(Window.partitionBy("doc_id", "own", "item").orderBy("pos"))
+    short = F.col("_n") < F.col("n")
+    lo = F.when(short, F.when(F.col("before").isNull(), 0).otherwise(1)).otherwise(F.greatest(F.lit(0), F.col("pos") - F.col("n") + F.col("k"), F.coalesce(F.col("before") + 1, F.lit(0))))
+    hi = F.when(short, 0).otherwise(F.least("pos", F.col("_n") - F.col("n")))
+    ranges = hits.withColumn("before", before).select("doc_id", "own", "item", "k", F.least("n", "_n").alias("n"), lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
+    ranges = written(ranges, "ranges")
+    each = F.collect_list(F.struct("item", "k", "n", "lo", "hi")).alias("ranges")
+    held = written(ranges.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(each), "held")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("own")).join(_near(held.select("_doc", "_own"), held.count()), same, "left_semi")
+    texts = texts.join(held, same).select("doc_id", words(F.col("text")).alias("ws"), "ranges")
+    region = lambda ws, r: F.slice(ws, r["lo"] + 1, r["hi"] - r["lo"] + r["n"])
+    cut = F.transform(F.array("ws"), lambda ws: F.transform("ranges", lambda r: F.struct(r["item"].alias("item"), r["k"].alias("k"), r["n"].alias("n"), r["lo"].alias("lo"), region(ws, r).alias("region"))))
+    windows = texts.select("doc_id", F.explode(F.flatten(cut)).alias("r")).select("doc_id", "r.*")
+    bodies = number(bench).select("item", "item_id", F.col("sh").alias("ish"), F.col("fp").alias("ifp"))
+    pairs = windows.join(_near(bodies, n_items), "item").withColumn("best", F.explode(F.array(best_window(F.col("region"), F.col("k"), F.col("n"), F.col("ish")))))
+    pairs = pairs.withColumn("similarity", F.round("best.similarity", 6)).filter(F.col("similarity") >= THRESHOLD)
+    best = F.max_by(F.struct("similarity", (F.col("lo") + F.col("best.at")).alias("start"), F.slice("region", F.col("best.at") + 1, F.col("n")).alias("ws"), "k", "ifp"), F.struct("similarity", (-F.col("lo") - F.col("best.at")).alias("s"))).alias("b")
+    pairs = pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    hamming = distance(fingerprint(F.col("sh")), F.col("ifp"))
+    return pairs.withColumn("sh", shingles(F.col("ws"), F.col("k"))).select("doc_id", "item_id", "similarity", "start", hamming.alias("hamming"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,31 @@ def test_decontamination_against_brute_force(spark):
     assert set(got) <= set(want)
 
 
+def pairs_and_brute_force(spark, docs, benchmark):
+    frame = lambda texts, name: spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(frame(docs, "doc_id"), frame(benchmark, "item_id")).collect()}
+    best = {(i, j): most_similar(ws, w) for i, ws in docs.items() for j, w in benchmark.items()}
+    return got, {k: pytest.approx(s, abs=1e-6) for k, s in best.items() if s >= decontam.THRESHOLD}
+
+
+def words_of(rng, n, least, most):
+    return ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(least, most))) for _ in range(n)]
+
+
+def test_decontamination_finds_moved_text(spark):
+    rng = random.Random(11)
+    docs, benchmark = {}, {}
+    for i in range(24):
+        a, x, b, c = words_of(rng, 45, 2, 5), words_of(rng, 8, 2, 5), words_of(rng, 60, 7, 11), words_of(rng, 45, 2, 5)
+        benchmark[i] = a + x + b + c
+        docs[i] = words_of(rng, 30, 2, 9) + a + b + x + c + words_of(rng, 30, 2, 9)
+    a, b = words_of(rng, 40, 3, 6), words_of(rng, 40, 3, 6)
+    benchmark[24], docs[24] = a + b, words_of(rng, 90, 2, 9) + b + a  # halves swapped
+    benchmark[25], docs[25] = a[:6] * 5, words_of(rng, 9, 2, 9) + a[:6] * 9  # repeated shingles
+    got, want = pairs_and_brute_force(spark, docs, benchmark)
+    assert len(want) >= 26 and got == want
+
+
 def test_masks_cover_the_radius():
     rng = random.Random(0)
     masks = set(decontam.MASKS)

@@ -138,6 +138,23 @@ def test_decontamination_finds_moved_text(spark):
     assert len(want) >= 26 and got == want
 
 
+def test_decontamination_loses_nothing_at_the_threshold(spark):
+    rng = random.Random(12)
+    docs, benchmark, want = {}, {}, set()
+    for i in range(200):
+        item = words_of(rng, 80, 3, 7)
+        heavy = rng.randrange(10, 69)
+        item[heavy - 2 : heavy + 3] = words_of(rng, 5, 8, 8)
+        part = list(item)
+        part[heavy] = words_of(rng, 1, 8, 12)[0]
+        benchmark[i], docs[i] = item, words_of(rng, 5, 3, 7) + part + words_of(rng, 5, 3, 7)
+        if most_similar(docs[i], item) >= decontam.THRESHOLD:
+            want.add((i, i))
+    frame = lambda texts, name: spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(docs, "doc_id"), frame(benchmark, "item_id")).collect()}
+    assert len(want) >= 100 and got == want
+
+
 def test_masks_cover_the_radius():
     rng = random.Random(0)
     masks = set(decontam.MASKS)

@@ -146,9 +146,10 @@ def parse(data: bytes) -> Stream:
     tags: dict[str, str] = {}
     info, toc, offsets, samples, hertz, rates, right, wrong, skipped = None, [], [], 0, 0, set(), 0, 0, 0
     end = len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
-        tags |= {k: v for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)) if (v := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip())}
+    tail = end - 128 if data[-128:-125] == b"TAG" else end  # an ID3v1 tag, unless a frame runs through that place
+
+    def id3v1() -> dict[str, str]:
+        return {k: v for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)) if (v := data[tail + a : tail + b].split(b"\0")[0].decode("latin-1").strip())}
     at, first, sure, leads = 0, True, False, False
     last: Header | None = None
     checked: dict[bytes, int] = {}
@@ -167,15 +168,19 @@ def parse(data: bytes) -> Stream:
         if (after := _id3v2(data, at, tags)) > at:
             at = after
             continue
+        if at == tail:
+            tags |= id3v1()
+            break
         h = seen(at)
         if h and (n := at + h.length) <= end:
             leads = n == end or like(seen(n), h) or data[n : n + 3] in (b"ID3", b"TAG")
-            if not leads and not (sure and like(h, last)):  # a header alone may be chance; where one was due, damage may follow
+            if not leads and (at < tail < n or not (sure and like(h, last))):  # a header alone may be chance; where one was due, damage may follow
                 h = None
         if not h or at + h.length > end:
-            sync = data.find(b"\xff", at + 1, end)
-            skipped += (sync if sync >= 0 else end) - at
-            at, sure = (sync if sync >= 0 else end), False
+            stop = tail if at < tail else end
+            sync = data.find(b"\xff", at + 1, stop)
+            skipped += (sync if sync >= 0 else stop) - at
+            at, sure = (sync if sync >= 0 else stop), False
             continue
         body = at + 4 + 2 * h.protected
         if h.protected and h.layer == 3:

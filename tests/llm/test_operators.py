@@ -191,6 +191,19 @@ def test_movement_stays_in_the_changed_subtree(spark):
 # --- media ------------------------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_text_that_looks_like_a_tag(n):
+    text = "x" * (n * 576 - 70) + "TAG" + "y" * 67
+    media = mpeg.encode(*mpeg.padded(text))
+    s = mpeg.parse(media)
+    assert media[-128:-125] == b"TAG" and len(s.offsets) == n and s.skipped == 0 and mpeg.payload_of(media, s) == text.encode()
+    tag = b"TAG" + b"title".ljust(125, b"\0")
+    s = mpeg.parse(media + tag)
+    assert len(s.offsets) == n and s.skipped == 0 and s.tags["title"] == "title"
+    s = mpeg.parse(media[:-300] + tag)  # a last frame cut short
+    assert len(s.offsets) == n - 1 and s.skipped == 372 and s.tags["title"] == "title"
+
+
 @pytest.mark.parametrize("text", [None, "", "a", "é" * 288, "x" * 576, "x" * 577, "\xff\xfb\x90\x00" * 500])
 def test_media_round_trip(text):
     payload, n = mpeg.padded(text)

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_sharding": sharding.ORACLE_SQL,
+    "op6_secret_scan": secrets.ORACLE_SQL,
     "op8_license_scan": licenses.ORACLE_SQL,
     "op9_chat_format": chat.ORACLE_SQL,
     "op10_near_dedup": dedup.ORACLE_SQL,

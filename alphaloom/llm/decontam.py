@@ -2,31 +2,27 @@
 
 1. Seeds: of each item the fewest, heaviest shingles whose weight together exceeds the share that a similar window may lack. A window that reaches the threshold holds one
    of them, wherever it stands in the window, so that all item-sized windows around each place of a seed are looked at and none that could pass is lost.
-2. Verification: the weighted Jaccard similarity of the two shingle sets, a shingle weighing as many as its words have letters, of all these windows by sliding sums.
-3. SimHash: 64 weighted bits of the item and of its most similar window. Their Hamming distance is given, but rejects nothing: edits in heavy shingles cost more bits than
-   any radius with a small index allows. The seeds find all that an index of fingerprints within RADIUS could add.
+2. Verification: the weighted Jaccard similarity of the two shingle sets, a shingle weighing as many as its words have letters, of all these windows by sliding sums,
+   compared as whole numbers.
+3. SimHash: 64 weighted bits of the item and of its most similar window. Their Hamming distance is given, but rejects nothing: one edit in heavy shingles costs more bits
+   than the radius of an index with a bearable number of blocks and masks.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from alphaloom.llm.common import table, written
+from alphaloom.llm.common import bound, removed, table, written
 
 WORDS = 5
-THRESHOLD = 0.8
-RADIUS = 15
-BLOCKS, BITS = 4, 16
-#: Item-side tables of at most so many rows are broadcast (under 100 bytes a row); larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-#: Block values at most RADIUS // BLOCKS bits away, as masks: an index of fingerprints within RADIUS. No result depends on it.
-MASKS = [sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BITS), k)]
+#: Similar: PARTS[1] * shared weight >= PARTS[0] * weight of the union.
+PARTS = (4, 5)
+THRESHOLD = PARTS[0] / PARTS[1]
+#: Rows of ids and hashes (at most 50 bytes each), and bytes of items' shingles, that are broadcast at most; more are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -42,15 +38,21 @@ def shingles(of: Column, k: Column) -> Column:
     return F.when(F.size(of) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(of) - k), one))).otherwise(none)
 
 
-def fingerprint(of: Column) -> Column:
-    """SimHash of weighted shingles as BLOCKS numbers of BITS bits."""
+def fingerprint(ws: Column, k: Column) -> Column:
+    """SimHash of the distinct shingles of an array of words: two numbers of 32 bits. A bit is set if the shingles that have it in their md5 outweigh the others."""
+    text = lambda i: F.array_join(F.slice(ws, i + 1, k), " ")
+    half = lambda s, n: F.conv(F.substring(F.md5(s), 1 + 8 * n, 8), 16, 10).cast("long")
+    one = lambda s: F.struct(F.length(F.replace(s, F.lit(" "), F.lit(""))).cast("long").alias("w"), half(s, 0).alias("a"), half(s, 1).alias("b"))
 
-    def bit(j: Column, b: Column) -> Column:
-        place = (j * BITS + b).cast("int")
-        lean = F.aggregate(of, F.lit(0).cast("long"), lambda s, x: s + F.when(F.call_function("getbit", x["h"], place) == 1, x["w"]).otherwise(-x["w"]))
-        return F.when(lean > 0, F.call_function("shiftleft", F.lit(1), b.cast("int"))).otherwise(F.lit(0))
+    def bits(of: Column, side: str) -> Column:
+        def bit(p: Column) -> Column:
+            lean = F.aggregate(of, F.lit(0).cast("long"), lambda s, x: s + F.when(F.call_function("getbit", x[side], p) == 1, x["w"]).otherwise(-x["w"]))
+            return F.when(lean > 0, F.call_function("shiftleft", F.lit(1).cast("long"), p)).otherwise(F.lit(0).cast("long"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0), lambda s, b: s + bit(j, b)))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, p: s + bit(p))
+
+    distinct = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ws) - k), text))
+    return bound(F.transform(distinct, one), lambda of: F.array(bits(of, "a"), bits(of, "b")))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -61,18 +63,12 @@ def weight(of: Column) -> Column:
     return F.aggregate(of, F.lit(0).cast("long"), lambda s, x: s + x["w"])
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard: a hash fixes its weight."""
-    both = weight(F.array_intersect(a, b))
-    return both / (weight(a) + weight(b) - both)
-
-
 def items(benchmark: DataFrame) -> DataFrame:
     """item_id, n words, k of its shingles, shingles, fp, and seeds (place in the item). Items without words are no items."""
     rows = benchmark.select("item_id", words(F.col("text")).alias("ws")).filter(F.get("ws", F.lit(0)) != "")
     rows = rows.withColumn("n", F.size("ws")).withColumn("k", F.least("n", F.lit(WORDS)))
     rows = rows.select("item_id", "n", "k", "ws", shingles(F.col("ws"), F.col("k")).alias("sh")).distinct()
-    return rows.withColumn("fp", fingerprint(F.col("sh")))
+    return rows.withColumn("fp", fingerprint(F.col("ws"), F.col("k")))
 
 
 def number(of: DataFrame) -> DataFrame:
@@ -81,11 +77,11 @@ def number(of: DataFrame) -> DataFrame:
 
 
 def seeds(of: DataFrame) -> DataFrame:
-    """h, k, n, item: the shingles that stand for each item."""
+    """h, k, n, item: the shingles that stand for each item: those before which at most the share that a similar window may lack is left out."""
     each = number(of).select("item", "n", "k", F.explode("sh").alias("s")).select("item", "n", "k", "s.h", "s.w")
     item = Window.partitionBy("item")
     before = F.sum("w").over(item.orderBy(F.col("w").desc(), "h").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = each.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_all", F.sum("w").over(item)).filter(F.col("_before") <= (1 - THRESHOLD) * F.col("_all") + 1e-6 * F.col("_all"))
+    chosen = each.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_all", F.sum("w").over(item)).filter(PARTS[1] * F.col("_before") <= (PARTS[1] - PARTS[0]) * F.col("_all"))
     return chosen.select("h", "k", "n", "item")
 
 
@@ -94,7 +90,8 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
 
 
 def best_window(region: Column, k: Column, n: Column, item: Column) -> Column:
-    """The most similar of all windows of n words in region, as struct<similarity, at>; of equal ones the first. item: the item's shingles.
+    """The most similar of all windows of n words in region, as struct<both, either, at>: the weights of the shared shingles and of the union, and the window's place in the
+    region; of equal ones the first. item: the item's shingles.
 
     Sums slide: a shingle leaves unless it stands in the window again, and one that enters counts unless it stands there already.
     """
@@ -118,43 +115,44 @@ def best_window(region: Column, k: Column, n: Column, item: Column) -> Column:
 
     def slide(e: Column) -> Column:
         last = n - k
-        similar = lambda both, own: both / (own + total - both)
         zero = F.lit(0).cast("long")
         first = F.filter(F.slice(e, F.lit(1), last + 1), lambda x: x["after"] > last)
         both, own = F.aggregate(first, zero, lambda t, x: t + x["m"]), F.aggregate(first, zero, lambda t, x: t + x["w"])
-        state = lambda both, own, best, at: F.struct(both.alias("both"), own.alias("own"), best.cast("double").alias("best"), at.cast("int").alias("at"))
+        state = lambda both, own, best, of, at: F.struct(both.alias("both"), own.alias("own"), best.alias("best"), of.alias("of"), at.cast("int").alias("at"))
 
         def step(t: Column, i: Column) -> Column:
             out, into = F.get(e, i - 1), F.get(e, i + last)
             goes, comes = out["after"] > i - 1 + last, into["before"] < i
             moved = lambda f: t["both" if f == "m" else "own"] - F.when(goes, out[f]).otherwise(zero) + F.when(comes, into[f]).otherwise(zero)
             b, o = moved("m"), moved("w")
-            better = similar(b, o) > t["best"]
-            return state(b, o, F.when(better, similar(b, o)).otherwise(t["best"]), F.when(better, i).otherwise(t["at"]))
+            either = o + total - b
+            better = b * t["of"] > t["best"] * either
+            return state(b, o, F.when(better, b).otherwise(t["best"]), F.when(better, either).otherwise(t["of"]), F.when(better, i).otherwise(t["at"]))
 
         more = F.filter(F.sequence(F.lit(0), F.size(region) - n), lambda i: i > 0)
-        return F.get(F.transform(F.array(F.struct(both.alias("b"), own.alias("o"))), lambda x: F.aggregate(more, state(x["b"], x["o"], similar(x["b"], x["o"]), F.lit(0)), step)), F.lit(0))
+        return bound(F.struct(both.alias("b"), own.alias("o")), lambda x: F.aggregate(more, state(x["b"], x["o"], x["b"], x["o"] + total - x["b"], F.lit(0)), step))
 
-    # A lambda's variable is evaluated once, an expression wherever it stands.
-    found = F.get(F.transform(F.array(hs), lambda x: F.get(F.transform(F.array(described(x)), slide), F.lit(0))), F.lit(0))
-    return F.struct(found["best"].alias("similarity"), found["at"].alias("at"))
+    found = bound(hs, lambda x: bound(described(x), slide))
+    return F.struct(found["best"].alias("both"), found["of"].alias("either"), found["at"].alias("at"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start (word of the most similar window, of equal ones the first), hamming: a row for each pair that reaches THRESHOLD in some window.
 
     A window has as many words as the item, or the whole document if that is shorter. Null and empty texts, and items without words, are in no pair. Repeated documents or
-    items give one pair; null ids count as ids, and texts under one id are looked at each by itself. Empty tables give no rows; other columns are left out.
+    items give one pair; null ids count as ids, and texts under one id are looked at each by itself. Empty tables give no rows; other columns are left out. hamming is the
+    distance of the two fingerprints, of 64.
     """
     bench = written(items(benchmark), "items")
     start = written(seeds(bench), "seeds")
-    n_items, n_seeds = bench.count(), start.count()
+    n_bytes, n_seeds = bench.agg(F.sum(16 * F.size("sh") + 100)).first()[0] or 0, start.count()
     sizes = [r.k for r in bench.select("k").distinct().collect()]  # at most WORDS
     text = docs.select("doc_id", F.xxhash64("text").alias("own"), words(F.col("text")).alias("ws")).withColumn("_n", F.size("ws"))
     found = None
     for k in sizes:
         at = text.select("doc_id", "own", "ws", "_n", F.posexplode("ws").alias("pos", "_w")).filter(F.col("pos") <= F.col("_n") - k)
         at = at.withColumn("h", F.xxhash64(*(F.get("ws", F.col("pos") + i) for i in range(k))))
+        at = at.select("doc_id", "own", "_n", "pos", "h")  # no words in the shuffle that a large set of seeds takes
         some = at.join(_near(start.filter(F.col("k") == k), n_seeds), "h").select("doc_id", "own", "_n", "item", "n", "k", "pos")
         found = some if found is None else found.unionAll(some)
     if found is None:
@@ -178,13 +176,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     cut = F.transform(F.array("ws"), lambda ws: F.transform("ranges", lambda r: F.struct(r["item"].alias("item"), r["k"].alias("k"), r["n"].alias("n"), r["lo"].alias("lo"), region(ws, r).alias("region"))))
     windows = texts.select("doc_id", F.explode(F.flatten(cut)).alias("r")).select("doc_id", "r.*")
     bodies = number(bench).select("item", "item_id", F.col("sh").alias("ish"), F.col("fp").alias("ifp"))
-    pairs = windows.join(_near(bodies, n_items), "item").withColumn("best", F.explode(F.array(best_window(F.col("region"), F.col("k"), F.col("n"), F.col("ish")))))
-    pairs = pairs.withColumn("similarity", F.round("best.similarity", 6)).filter(F.col("similarity") >= THRESHOLD)
-    best = F.max_by(F.struct("similarity", (F.col("lo") + F.col("best.at")).alias("start"), F.slice("region", F.col("best.at") + 1, F.col("n")).alias("ws"), "k", "ifp"), F.struct("similarity", (-F.col("lo") - F.col("best.at")).alias("s"))).alias("b")
-    pairs = pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
-    hamming = distance(fingerprint(F.col("sh")), F.col("ifp"))
-    return pairs.withColumn("sh", shingles(F.col("ws"), F.col("k"))).select("doc_id", "item_id", "similarity", "start", hamming.alias("hamming"))
+    near = F.broadcast(bodies) if n_bytes <= BROADCAST_BYTES else bodies
+    pairs = windows.join(near, "item").withColumn("best", F.explode(F.array(best_window(F.col("region"), F.col("k"), F.col("n"), F.col("ish")))))
+    pairs = pairs.filter(PARTS[1] * F.col("best.both") >= PARTS[0] * F.col("best.either"))
+    start_at = F.col("lo") + F.col("best.at")
+    one = F.struct((F.col("best.both") / F.col("best.either")).alias("similarity"), start_at.alias("start"), F.slice("region", F.col("best.at") + 1, F.col("n")).alias("ws"), "k", "ifp")
+    pairs = pairs.groupBy("doc_id", "item_id").agg(F.max_by(one, F.struct(F.col("best.both") / F.col("best.either"), -start_at)).alias("b")).select("doc_id", "item_id", "b.*")
+    out = pairs.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start", distance(fingerprint(F.col("ws"), F.col("k")), F.col("ifp")).alias("hamming"))
+    removed(start, ranges)
+    return out
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS_SQL = "string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' ') AS w"
+
+ORACLE_SQL = f"""
+WITH words AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, w, len(w) AS l FROM (SELECT DISTINCT doc_id, {_WORDS_SQL} FROM documents)),
+items AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, w, len(w) AS n, least(len(w), {WORDS}) AS k FROM (SELECT DISTINCT item_id, {_WORDS_SQL} FROM benchmark) WHERE w[1] <> ''),
+own AS MATERIALIZED (SELECT DISTINCT i, n, k, array_to_string(w[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS j FROM items)),
+totals AS (SELECT i, sum(length(replace(s, ' ', '')))::BIGINT AS total FROM own GROUP BY i),
+places AS MATERIALIZED (SELECT d, l, k, j - 1 AS pos, array_to_string(w[j:j + k - 1], ' ') AS s FROM (SELECT words.*, k, unnest(range(1, l - k + 2)) AS j FROM words, (SELECT DISTINCT k FROM items))),
+hits AS (SELECT d, l, i, n, k, pos FROM places JOIN own USING (k, s)),
+starts AS (SELECT DISTINCT d, i, k, least(n, l) AS n, unnest(range(greatest(0, least(pos - n + k, l - n)), least(pos, greatest(l - n, 0)) + 1)) AS start FROM hits),
+inside AS (SELECT DISTINCT x.d, x.i, x.start, p.s FROM starts x JOIN places p ON p.d = x.d AND p.k = x.k AND p.pos BETWEEN x.start AND x.start + x.n - x.k),
+weighed AS MATERIALIZED (SELECT x.*, length(replace(x.s, ' ', '')) AS v, o.s IS NOT NULL AS shared FROM inside x LEFT JOIN own o ON o.i = x.i AND o.s = x.s),
+sums AS (SELECT d, i, start, coalesce(sum(v) FILTER (shared), 0)::BIGINT AS both_, sum(v)::BIGINT AS own_ FROM weighed GROUP BY ALL),
+reach AS (SELECT *, own_ + total - both_ AS either FROM sums JOIN totals USING (i) WHERE {PARTS[1]} * both_ >= {PARTS[0]} * (own_ + total - both_)),
+best AS MATERIALIZED (SELECT reach.*, doc_id, item_id FROM reach JOIN words USING (d) JOIN items USING (i) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY both_ / either DESC, start) = 1),
+bits AS (SELECT d, i, side, p, sum(CASE WHEN (('0x' || md5(s)[1 + 8 * (p // 32):8 + 8 * (p // 32)])::BIGINT >> (p % 32)) & 1 = 1 THEN v ELSE -v END) > 0 AS set_ FROM (
+  SELECT d, i, 0 AS side, s, v FROM best JOIN weighed USING (d, i, start) UNION ALL SELECT d, i, 1, s, length(replace(s, ' ', '')) FROM best JOIN own USING (i)), range(64) r(p) GROUP BY ALL),
+hammings AS (SELECT d, i, sum(n - 1)::INT AS hamming FROM (SELECT d, i, p, count(DISTINCT set_) AS n FROM bits GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, item_id, round(both_ / either, 6) AS similarity, start::INT AS start, hamming FROM best JOIN hammings USING (d, i)"""

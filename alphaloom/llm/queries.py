@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": decontam.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op6_secret_scan": secrets.ORACLE_SQL,
     "op8_license_scan": licenses.ORACLE_SQL,

@@ -13,14 +13,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from alphaloom.llm import shingles
-from alphaloom.llm.common import in_parts, table, written
+from alphaloom.llm.common import in_parts, removed, table, written
 
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Candidates whose estimated similarity is lower are dropped before verification: five standard errors of 120 registers below PERCENT.
-LEAST_ESTIMATE = 0.69
 #: Ids of candidates up to this count are broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bytes of shingle sets in one block of a bucket.
@@ -33,27 +32,32 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_parts(batches):
-        ids, texts = batch.column(0), _texts(batch.column(1))
-        for at, some in shingles.in_groups(texts):
-            sets = shingles.shingle_sets(some)
-            sketches = [shingles.registers(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(at, len(some)),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([shingles.digest(s) for s in sets], pa.binary()),
-                    pa.array([shingles.bands(k) if len(s) else [] for s, k in zip(sets, sketches, strict=True)], pa.list_(pa.int64())),
-                    pa.array([k.tobytes() for k in sketches], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "key", "bands", "registers"],
-            )
+def _sketched(percent: int):
+    rows, number = shingles.layout(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches):
+            ids, texts = batch.column(0), _texts(batch.column(1))
+            for at, some in shingles.in_groups(texts):
+                sets = shingles.shingle_sets(some)
+                sketches = [shingles.registers(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(at, len(some)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([shingles.digest(s) for s in sets], pa.binary()),
+                        pa.array([shingles.bands(k, rows, number) if len(s) else [] for s, k in zip(sets, sketches, strict=True)], pa.list_(pa.int64())),
+                        pa.array([k.tobytes() for k in sketches], pa.binary()),
+                    ],
+                    names=["doc_id", "n_shingles", "key", "bands", "registers"],
+                )
+
+    return run
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """A row per document: set size, the set's digest as key, band keys and registers."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketched, SKETCH)
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """A row per document: set size, the set's digest as key, band keys for pairs at the similarity, and registers."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketched(percent), SKETCH)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,14 +67,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([shingles.digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("ra", "rb")
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2048):
-            x = batch.slice(i, 2048)
-            a, b = (np.frombuffer(b"".join(x.column(n).to_pylist()), np.uint16).reshape(-1, shingles.REGISTERS) for n in names)
-            j = shingles.estimate(a, b, x.column("na").to_numpy(), x.column("nb").to_numpy())
-            yield x.select(["a", "b"]).filter(pa.array(j >= LEAST_ESTIMATE))
+def _likely(percent: int):
+    least = shingles.least_estimate(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                x = batch.slice(i, 2048)
+                a, b = (np.frombuffer(b"".join(x.column(n).to_pylist()), np.uint16).reshape(-1, shingles.REGISTERS) for n in ("ra", "rb"))
+                j = shingles.estimate(a, b, x.column("na").to_numpy(), x.column("nb").to_numpy())
+                yield x.select(["a", "b"]).filter(pa.array(j >= least))
+
+    return run
 
 
 def _verified(percent: int):
@@ -96,20 +104,25 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("parent")), "parents")
+        first = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("parent")), "parents")
+        parent = first
         for _ in range(2):
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
             parent = parent.join(up, "parent").select("node", F.col("root").alias("parent"))
         parent = written(parent, "parents")
+        removed(first)
         if labels is None:
-            labels = parent.withColumnRenamed("parent", "label")
+            labels = written(parent.withColumnRenamed("parent", "label"), "labels")
         else:
-            up = parent.select(F.col("node").alias("label"), "parent")
-            labels = written(labels.join(up, "label", "left").select("node", F.coalesce("parent", "label").alias("label")), "labels")
+            up, old = parent.select(F.col("node").alias("label"), "parent"), labels
+            labels = written(old.join(up, "label", "left").select("node", F.coalesce("parent", "label").alias("label")), "labels")
+            removed(old)
         pa_, pb = (parent.select(F.col("node").alias(x), F.col("parent").alias(f"p{x}")) for x in ("a", "b"))
-        moved = edges.join(pa_, "a").join(pb, "b").filter("pa <> pb")
+        moved, old = edges.join(pa_, "a").join(pb, "b").filter("pa <> pb"), edges
         edges = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        removed(old, parent)
         if edges.isEmpty():
+            removed(edges)
             return labels
 
 
@@ -176,6 +189,25 @@ def _sets_of(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
     return written(texts.select("text").mapInArrow(_sets, "key binary, set binary").join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
 
+def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """band, i, j, side, label, set: the members of each bucket (band, key, label, n, set) in every pair of blocks i <= j that can hold a link.
+
+    Blocks hold about BLOCK_BYTES of sets and go by set size, so that blocks whose sizes are too far apart for a link never meet. A size that fills more than a block is
+    spread over several by hash.
+    """
+    sizes = members.groupBy("band", "n").agg(F.sum(8 * F.col("n")).alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("band").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    block = lambda x: F.floor(x / BLOCK_BYTES).cast("int")
+    sizes = sizes.select("band", "n", block(before).alias("first"), block(before + F.col("bytes") - 1).alias("last"))
+    own = F.col("first") + F.pmod(F.xxhash64("key"), F.col("last") - F.col("first") + 1).cast("int")
+    placed = written(members.join(sizes, ["band", "n"]).select("band", "label", "set", "n", own.alias("own")), "placed")
+    ranges = written(placed.groupBy("band", "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "ranges")
+    left, right = (ranges.select("band", F.col("own").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in "ij")
+    pairs = written(left.join(right, "band").filter("i <= j").filter(percent * F.col("lo_j") <= 100 * F.col("hi_i")).select("band", "i", "j"), "pairs")
+    of = lambda x, which: placed.join(which.withColumn("own", F.col(x)), ["band", "own"]).select("band", "i", "j", F.col("own").alias("side"), "label", "set")
+    return of("i", pairs).unionAll(of("j", pairs.filter("i < j")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per document.
 
@@ -183,9 +215,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies; of documents that share the smallest id all are kept. Null ids take part in links but name a component only if it has no other. An empty table gives no rows.
     Other columns are left out.
 
-    Two sets at a similarity of 0.85 share no band with a probability of 8e-7; those that do share one are decided exactly.
+    Two sets at exactly the similarity share no band with a probability of at most shingles.MISS (7.7e-7 at 85 per cent, 1.4e-7 at 80), and less at any higher one. Those
+    that share one are decided on their full sets: in a bucket of two unless the estimate is so low that it happens once in 1e9 such pairs (shingles.UNDER), in a larger
+    one always, by its least set or with all others.
     """
-    found = written(sketches(docs), "sketches")
+    found = written(sketches(docs, percent), "sketches")
     classes = written(found.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
     banded = classes.select("key", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -193,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     pairs = members.filter("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
     slim = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    likely = written(pairs.join(slim("a"), "a").join(slim("b"), "b").mapInArrow(_likely, "a binary, b binary"), "likely")
+    likely = written(pairs.join(slim("a"), "a").join(slim("b"), "b").mapInArrow(_likely(percent), "a binary, b binary"), "likely")
 
     sets = _sets_of(docs, classes, likely.select(F.col("a").alias("key")).unionAll(likely.select(F.col("b").alias("key"))).distinct())
     side = lambda x: sets.select(F.col("key").alias(x), F.col("set").alias(f"s{x}"))
@@ -208,20 +242,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not mixed.isEmpty():
         apart = written(named.join(mixed, "band").join(classes.select("key", "n"), "key"), "apart")
         sets = _sets_of(docs, classes, apart.select("key").distinct())
-        blocks = apart.groupBy("band").agg(F.greatest(F.lit(1), F.ceil(8 * F.sum("n") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
-        placed = apart.join(written(blocks, "blocks"), "band").join(sets, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        spread = placed.select("band", "label", "set", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        spread = spread.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "label", "set")
+        spread = _block_pairs(apart.join(sets, "key"), percent)
         more = spread.groupBy("band", "i", "j").applyInPandas(_closed(percent), "a binary, b binary")
         joined = components(more)
         up = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
         old = labels.select("node", "label").unionAll(joined.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
         labels = written(old.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+        removed(apart, sets)
 
     names = classes.select("key", "min_id").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "min_id", F.coalesce("label", "key").alias("label"))
     names = written(names, "names")
     least = written(names.groupBy("label").agg(F.min("min_id").alias("component_id")), "least")
     of = written(names.join(least, "label").select("key", "component_id"), "components")
+    removed(classes, members, likely, labels, named, mixed, names, least)
     out = found.select("doc_id", "n_shingles", "key").join(of, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

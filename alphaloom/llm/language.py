@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,15 @@ FAMILIES = {
     "semitic": ("ar", "he", "mt", "am"),
     "sinitic": ("zh", "yue", "wuu"),
 }
-#: Hashed features; documents of each language that the model is fitted on, on average at most.
+#: Hashed features; documents that the model is fitted on, on average at most: of each language, and of all together.
 SIZE = 8192
-TRAINING_DOCS = 500
+TRAINING_DOCS, TRAINING_TOTAL = 500, 2000
+#: Texts whose vectors a worker holds at a time.
+TEXTS = 256
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
+#: The score under which with_language() takes an answer for none: what two coin tosses, for the family and for the language, would give.
+LEAST_SCORE = 0.25
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -40,14 +44,15 @@ def family(lang: str) -> str:
     return next((k for k, v in FAMILIES.items() if lang.split("-")[0] in v), lang)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def vector(text: str | None) -> np.ndarray | None:
     """Square roots of the counts of the text's hashed pairs and triples of bytes, lower-cased and with anything but letters as blanks, at length 1; None without a letter."""
-    if not text:
-        return None
-    low = text.lower()
-    b = _LETTER[np.frombuffer(low.encode("utf-8", "replace"), np.uint8)]
-    if not ((b >= 97) & (b < 123)).any() and not any(map(str.isalpha, low)):
+    if not has_letter(text):
         return None
+    b = _LETTER[np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)]
     counts = np.zeros(SIZE, np.float64)
     for i in range(0, len(b), 1 << 20):
         x = b[max(0, i - 2) : i + (1 << 20)].astype(np.uint32)
@@ -110,20 +115,23 @@ class Machines:
             slopes.append(_slope(np.array([x[k] @ w[:-1] for k in own]) + w[-1], y))
         return cls(order, np.array(weights, np.float32).reshape(-1, x.shape[1] + 1), slopes)
 
-    def choose(self, v: np.ndarray) -> tuple[str, float]:
-        """The name with most votes (ties: greatest sum of margins, then first), and the least probability with which it won a vote."""
+    def choose(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row of x the number of the name with most votes (ties: greatest sum of margins, then first), and the least probability with which it won a vote."""
+        n = len(x)
         if len(self.names) == 1:
-            return self.names[0], 1.0
-        margins = self.weights[:, :-1] @ v + self.weights[:, -1]
-        votes, sums, least = {n: 0 for n in self.names}, {n: 0.0 for n in self.names}, {n: 1.0 for n in self.names}
-        for (a, b), m, s in zip(combinations(self.names, 2), margins.tolist(), self.slopes, strict=True):
-            votes[a if m >= 0 else b] += 1
-            sums[a] += m
-            sums[b] -= m
+            return np.zeros(n, np.int64), np.ones(n)
+        margins = (x @ self.weights[:, :-1].T + self.weights[:, -1]).astype(np.float64)
+        votes, sums, least = np.zeros((n, len(self.names))), np.zeros((n, len(self.names))), np.ones((n, len(self.names)))
+        for k, ((a, b), s) in enumerate(zip(combinations(range(len(self.names)), 2), self.slopes, strict=True)):
+            m = margins[:, k]
+            votes[:, a] += m >= 0
+            votes[:, b] += m < 0
+            sums[:, a] += m
+            sums[:, b] -= m
             p = 1 / (1 + np.exp(-s * m))
-            least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
-        best = max(self.names, key=lambda n: (votes[n], sums[n]))
-        return best, float(least[best])
+            least[:, a], least[:, b] = np.minimum(least[:, a], p), np.minimum(least[:, b], 1 - p)
+        best = np.where(votes == votes.max(axis=1, keepdims=True), sums, -np.inf).argmax(axis=1)
+        return best, least[np.arange(n), best]
 
 
 @dataclass
@@ -131,13 +139,23 @@ class Model:
     families: Machines | None = None
     languages: dict[str, Machines] = field(default_factory=dict)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        v = vector(text) if self.families else None
-        if v is None:
-            return UNDETERMINED, 0.0
-        name, p = self.families.choose(v)
-        lang, q = self.languages[name].choose(v)
-        return lang, p * q
+    def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """A language and a score for each text; TEXTS at a time are one matrix product for the families, and one for the languages of each family."""
+        texts = iter(texts)
+        while some := [vector(t) for t in islice(texts, TEXTS)]:
+            rows = [k for k, v in enumerate(some) if v is not None] if self.families else []
+            out = [(UNDETERMINED, 0.0)] * len(some)
+            if rows:
+                x, at = np.stack([some[k] for k in rows]), np.array(rows)
+                which, p = self.families.choose(x)
+                for f, name in enumerate(self.families.names):
+                    own = np.flatnonzero(which == f)
+                    if len(own):
+                        machines = self.languages[name]
+                        lang, q = machines.choose(x[own])
+                        for k, i, s in zip(at[own].tolist(), lang.tolist(), (p[own] * q).tolist(), strict=True):
+                            out[k] = machines.names[i], s
+            yield from out
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +166,14 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fits on documents with a language outside the held-out fold: on all of a language, or on a share that the ids decide, TRAINING_DOCS on average.
-
-    What reaches the driver is at most about TRAINING_DOCS x languages x 16 KB.
+    """Fits on documents with a language outside the held-out fold: on all of a language, or on a share that the ids decide, on average TRAINING_DOCS or a language's part of
+    TRAINING_TOTAL, whichever is less. What reaches the driver is at most about TRAINING_TOTAL x 16 KB, however many languages there are.
     """
     known = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    rates = {r.lang: min(1.0, TRAINING_DOCS / r.n) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not rates:
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return Model()
+    rates = {lang: min(1.0, min(TRAINING_DOCS, TRAINING_TOTAL / len(counts)) / n) for lang, n in counts.items()}
     rate = F.lit(0.0)
     for lang, share in sorted(rates.items()):
         rate = F.when(F.col("lang") == lang, F.lit(share)).otherwise(rate)
@@ -181,20 +199,32 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            got = [model.predict(x.as_py()) for x in batch.column("text")]
+            got = list(model.predict(x.as_py() for x in batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, every column, whose language could be determined."""
+def with_language(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, every column, whose language the model tells with a score of at least least; where lang is null, it is the predicted one.
+
+    Null and empty texts and those without a letter go. A model that learned no language (no document with one outside the held-out fold) tells nothing: then every text
+    with a letter stays as it is. Repeated rows stay or go alike; an empty table gives no rows; no name of a column clashes.
+    """
+    column = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            keep = [model.predict(x.as_py())[0] != UNDETERMINED for x in batch.column("text")]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            texts = batch.column("text")
+            if model.families is None:
+                yield batch.filter(pa.array([has_letter(x.as_py()) for x in texts], pa.bool_()))
+                continue
+            got = list(model.predict(x.as_py() for x in texts))
+            if column is not None:
+                told = batch.column(column)
+                batch = batch.set_column(column, batch.schema.field(column), pa.array([x.as_py() if x.is_valid else g for x, (g, _) in zip(told, got, strict=True)], told.type))
+            yield batch.filter(pa.array([g != UNDETERMINED and s >= least for g, s in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -84,20 +84,21 @@ def assign_shards(docs: DataFrame, tree: Sequence[Leaf]) -> DataFrame:
 
     The doc_id (null: empty text) alone decides the shard, so repeated ids share one, and equal texts of different ids may part. A null text has size 1
     and the crc32 of no bytes, 0; an empty text likewise. An empty table gives no rows. Other columns of the input are left out, whatever their names.
-    Slots number a shard's rows without gaps: rows are numbered within each of 4096 hashed buckets of a shard and moved up by the counts of the buckets
-    before, so that a task sorts only a bucket. The counts, at most 4096 a shard, are broadcast.
+    Slots number a shard's rows without gaps: rows are numbered within each of 4096 buckets of a shard, hashed from id and text, and moved up by the counts of the buckets
+    before, so that a task sorts only a bucket, and rows that share an id, null included, part by their texts. The counts, at most 4096 a shard, are broadcast.
     """
-    key = id_text(F.col("doc_id"))
-    with_shard = lambda df: df.withColumn("_key", key).withColumn("shard", shard_of(F.col("_key"), tree)).withColumn("_bucket", F.substring(F.md5(F.concat(F.lit("slot|"), F.col("_key"))), 1, BUCKETS_HEX))
-    counts = with_shard(docs.select("doc_id")).groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long")
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32")).withColumn("_key", id_text(F.col("doc_id")))
+    bucket = F.substring(F.md5(F.concat(F.lit("slot|"), F.col("_key"), F.lit("|"), F.col("text_crc32").cast("string"))), 1, BUCKETS_HEX)
+    rows = rows.withColumns({"shard": shard_of(F.col("_key"), tree), "_bucket": bucket})
+    counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"))
-    rows = with_shard(rows).withColumn("grown_shard", shard_of(F.col("_key"), grown(tree)))
     own = Window.partitionBy("shard", "_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     # Bounded by shards x 4096 rows, whatever the input.
     return (
-        rows.withColumn("_i", F.row_number().over(own).cast("long") - 1)
+        rows.withColumn("grown_shard", shard_of(F.col("_key"), grown(tree)))
+        .withColumn("_i", F.row_number().over(own).cast("long") - 1)
         .join(F.broadcast(offsets), ["shard", "_bucket"], "left")
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_i")).alias("slot"), "grown_shard")
     )
@@ -143,7 +144,7 @@ l1 AS (SELECT *, {a} AS region, {d} AS gregion FROM keys),
 l2 AS (SELECT *, {b} AS rack, {e} AS grack FROM l1),
 l3 AS (SELECT *, {c} AS shard, {f} AS grown_shard FROM l2)
 SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY md5('slot|' || k)[1:{BUCKETS_HEX}], doc_id NULLS FIRST, crc, size) - 1 AS slot, grown_shard::INT AS grown_shard
+  row_number() OVER (PARTITION BY shard ORDER BY md5('slot|' || k || '|' || crc)[1:{BUCKETS_HEX}], doc_id NULLS FIRST, crc, size) - 1 AS slot, grown_shard::INT AS grown_shard
 FROM l3 JOIN crcs USING (t)"""
 
 

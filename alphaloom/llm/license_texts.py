@@ -1,4 +1,4 @@
-"""Texts of well-known short licences and notices, by SPDX identifier (or identifier and form)."""
+"""Known licences by SPDX identifier (or identifier and form): texts of short ones and of notices, digests of long ones."""
 
 _WARRANTY_BSD = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
@@ -47,6 +47,14 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 _BSD_THREE = _BSD_TWO + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
 
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+_BSD_REGENTS = f"{_BSD_TWO}\n3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + _WARRANTY_BSD.replace("COPYRIGHT HOLDERS AND", "REGENTS AND").replace("COPYRIGHT HOLDER OR", "REGENTS OR")
+
 KNOWN: dict[str, str] = {
     "MIT": _MIT,
     "MIT (titled)": "MIT License\n\n" + _MIT,
@@ -64,4 +72,39 @@ KNOWN: dict[str, str] = {
     "Zlib": _ZLIB,
     "Zlib (titled)": "zlib License\n\n" + _ZLIB,
     "Apache-2.0 (notice)": _APACHE_NOTICE,
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST,
+    "BSL-1.0 (untitled)": _BOOST,
+    "BSD-3-Clause (regents)": _BSD_REGENTS,
+}
+
+#: md5 of the canonical form (licenses.canonical) of the licences' published texts, whole and without what follows their terms.
+DIGESTS: dict[str, str] = {
+    "Apache-2.0": "46c5873a18595cb4528bc1040715fdcb",
+    "Apache-2.0 (terms)": "a113de1ddc235b81140ac33ceccc4edb",
+    "Apache-2.0 (terms, no end mark)": "ed7cd2d94d2445641bbe005972e8bd2c",
+    "Artistic-1.0-Perl": "1ba7bd13be043105f565e2954ed1c30a",
+    "CC0-1.0": "33b60d2bcc436a336d1830b3b1c03687",
+    "GFDL-1.2": "87ec2f03f2a1bdc556727513e2615c68",
+    "GFDL-1.2 (no addendum)": "246de2305e988a06773c52f8b3af0960",
+    "GFDL-1.3": "95a1ed22a3b9076185b9d7b0e2fe7fa1",
+    "GFDL-1.3 (no addendum)": "e49647c1439036af40c6e9aff6dc23ce",
+    "GPL-1.0": "d2f44e30b003b30174e5dc8825fcd0b9",
+    "GPL-1.0 (terms)": "906761728851549b2aabdd20795ea046",
+    "GPL-1.0 (terms, no end mark)": "022b47454d400ad4acc064c32a271b57",
+    "GPL-2.0": "a8d0ebec2d5a658459b131eeedf94611",
+    "GPL-2.0 (terms)": "e4aef4b8d3b95ff6d8db7f09257f5916",
+    "GPL-2.0 (terms, no end mark)": "25c2ff5ccc60117e70956f7af347351f",
+    "GPL-3.0": "afb6846abf24d0b51c49340985ebf3c5",
+    "GPL-3.0 (terms)": "a9cb5137b6d7db06463d7ec6d39e1fc4",
+    "GPL-3.0 (terms, no end mark)": "38a60ce66da83de7216d288c941d4450",
+    "LGPL-2.0": "289b8c8abd5a8204301d2d50f8e715e1",
+    "LGPL-2.0 (terms)": "ca593525ffc8b053f6551e0f7bc36897",
+    "LGPL-2.0 (terms, no end mark)": "f0505109f086078adcab98a1dfc551c0",
+    "LGPL-2.1": "dacc1a6026025becbf022dd1ad568b9c",
+    "LGPL-2.1 (terms)": "94b19caf74c8cee6d52baed78f6c4849",
+    "LGPL-2.1 (terms, no end mark)": "d250b912f3e7fa950d8b643e4bc9ecd0",
+    "LGPL-3.0": "45ec14853d944805ef573d0b3a40cda3",
+    "MPL-1.1": "3a4e6f19977adf5be64de6b71cda6e8a",
+    "MPL-2.0": "d3531cab9bbce919d7d482d36f2ea222",
+    "MPL-2.0 (no exhibits)": "ee3f830d24ce0cbfc588727c1bd2a762",
 }

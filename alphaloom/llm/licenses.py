@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.llm.common import table
-from alphaloom.llm.license_texts import KNOWN
+from alphaloom.llm.license_texts import DIGESTS, KNOWN
 
 #: (pattern, replacement), in this order, over the lower-cased text. Without groups or look-around: the same in Java's and RE2's dialect.
 RULES = (
@@ -14,6 +14,8 @@ RULES = (
     (r"(^|\n)[^a-z\n]*(portions )?copyright[ \t]*(\(c\)|©|:|[0-9<\[{]|by |holder:)[^\n]*", "\n"),
     (r"(^|\n)[^a-z\n]*(\(c\)|©)[ \t]*(copyright )?[0-9<\[{][^\n]*", "\n"),
     (r"(^|\n)[^a-z\n]*all rights reserved[^a-z\n]*", "\n"),
+    # The publisher's address lines, which changed while the texts did not.
+    (r"(^|\n)[^a-z\n]*(51 franklin st|59 temple pl|675 mass ave)[^\n]*", "\n"),
     # Equivalent spellings.
     (r"licence", "license"),
     (r"sub[ -]license", "sublicense"),
@@ -36,10 +38,17 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """license_id and digest: a row for each distinct canonical text, under its least name. As many rows as licences are known, whatever the input."""
-    rows = spark.createDataFrame(sorted((KNOWN if known is None else known).items()), "license_id string, license_text string")
-    return rows.groupBy(F.md5(canonical(F.col("license_text"))).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession, known: DataFrame | dict[str, str] | None = None) -> DataFrame:
+    """license_id and digest: a row for each distinct canonical text, under its least name. known: texts by name, or a table of them (license_id, text); by default those
+    of license_texts. As many rows as licences are known, whatever the input."""
+    if known is None:
+        known = KNOWN
+        more = spark.createDataFrame([(v, k) for k, v in DIGESTS.items()], "digest string, license_id string")
+    else:
+        more = spark.createDataFrame([], "digest string, license_id string")
+    texts = known.select("license_id", "text") if isinstance(known, DataFrame) else spark.createDataFrame(sorted(known.items()), "license_id string, text string")
+    rows = texts.filter(canonical(F.col("text")) != "").select(F.md5(canonical(F.col("text"))).alias("digest"), "license_id").unionAll(more)
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -48,8 +57,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     Null and empty texts, and those of only punctuation, have the digest of empty text and no licence. Repeated rows and null ids each keep their row;
     an empty table gives none; other columns are left out. known is broadcast: its size is that of the licence list, not of the input.
     """
-    text = docs.select("doc_id", canonical(F.col("text")).alias("_c"))
-    rows = text.select("doc_id", F.length("_c").cast("long").alias("n_canonical"), F.md5("_c").alias("digest"))
+    text = docs.select("doc_id", canonical(F.col("text")).alias("c"))
+    rows = text.select("doc_id", F.length("c").cast("long").alias("n_canonical"), F.md5("c").alias("digest"))
     return rows.join(F.broadcast(known), "digest", "left").select("doc_id", "n_canonical", "digest", F.when(F.col("n_canonical") > 0, F.col("license_id")).alias("license_id"))
 
 
@@ -67,8 +76,9 @@ def _sql_canonical(text: str) -> str:
 def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted(KNOWN.items()))
+    digests = ", ".join(f"({quote(v)}, {quote(k)})" for k, v in DIGESTS.items())
     return f"""
-WITH known AS (SELECT md5({_sql_canonical("t")}) AS digest, min(k) AS license_id FROM (VALUES {values}) AS v(k, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(k) AS license_id FROM (SELECT md5({_sql_canonical("t")}) AS digest, k FROM (VALUES {values}) AS v(k, t) UNION ALL VALUES {digests}) GROUP BY 1),
 texts AS (SELECT doc_id, {_sql_canonical("text")} AS c FROM documents)
 SELECT doc_id, length(c)::BIGINT AS n_canonical, md5(c) AS digest, CASE WHEN length(c) > 0 THEN license_id END AS license_id
 FROM texts LEFT JOIN known ON md5(c) = digest"""

@@ -84,6 +84,49 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """Of the first bits of data."""
+    crc = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        top = crc >> 15 ^ data[k // 8] >> (7 - k % 8) & 1
+        crc = (crc << 1 ^ (0x8005 if top else 0)) & 0xFFFF
+    return crc
+
+
+def _allocation_bits(h: Header) -> list[int]:
+    """Bits of the bit allocation of each subband that a layer I or II frame has."""
+    if h.layer == 1:
+        return [4] * 32
+    if h.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    rate = h.kbps // (1 if h.mono else 2)
+    if rate <= 48:
+        return [4] * 2 + [3] * (10 if h.hertz == 32000 else 6)
+    wide = rate >= 96 and h.hertz != 48000
+    return [4] * 11 + [3] * 12 + [2] * (7 if wide else 4)
+
+
+def guarded(data: bytes, at: int, h: Header) -> tuple[bytes, int]:
+    """What a frame's checksum guards, as bytes and the number of bits: half the header, then layer III's side information, layer I's bit allocation, or layer II's bit
+    allocation and scale factor selection."""
+    body = at + 6
+    if h.layer == 3:
+        return data[at + 2 : at + 4] + data[body : body + h.side], 16 + 8 * h.side
+    widths, mode = _allocation_bits(h), data[at + 3]
+    channels = 1 if h.mono else 2
+    bound = 4 * ((mode >> 4 & 3) + 1) if mode >> 6 == 1 else 32  # joint stereo: subbands from here on share their allocation
+    bits = int.from_bytes(data[body : body + 64].ljust(64, b"\0"), "big")
+    place, used = 0, 0
+    for band, width in enumerate(widths):
+        own = channels if band < bound else 1
+        for _ in range(own):
+            if bits >> (512 - place - width) & ((1 << width) - 1):
+                used += 1 if band < bound else channels
+            place += width
+    n = place + (2 * used if h.layer == 2 else 0)
+    return data[at + 2 : at + 4] + data[body : body + -(-n // 8)], 16 + n
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -114,7 +157,7 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
 class Stream(NamedTuple):
     tags: dict[str, str]
     info: dict[str, int] | None  # frames, bytes, method of the variable-bitrate table
-    toc: list[int]
+    toc: list[int]  # of Xing and Info hundredths of the bytes in 256ths, of VBRI bytes between seek points
     offsets: list[int]  # of each audio frame
     samples: int
     hertz: int
@@ -124,21 +167,27 @@ class Stream(NamedTuple):
 
 
 def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
-    """Reads text frames; returns where the tag ends, or at if there is none."""
+    """Reads text frames of versions 2.2 to 2.4; returns where the tag with its footer ends, or at if there is none."""
     if data[at : at + 3] != b"ID3" or at + 10 > len(data) or max(data[at + 6 : at + 10]) > 127:
         return at
     safe = lambda x: x[0] << 21 | x[1] << 14 | x[2] << 7 | x[3]
-    major, end = data[at + 3], min(len(data), at + 10 + safe(data[at + 6 : at + 10]))
-    p = at + 10
-    while major >= 3 and p + 10 <= end and data[p]:
-        size = safe(data[p + 4 : p + 8]) if major == 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-        name, body = data[p : p + 4].decode("latin-1"), data[p + 10 : min(end, p + 10 + size)]
-        if name[0] == "T" and body:
-            value = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)], "replace").strip("\0")
-            key, _, rest = value.partition("\0")
-            tags.update({f"TXXX:{key}": rest} if name == "TXXX" else {name: value})
-        p += 10 + size
-    return end
+    major, flags, end = data[at + 3], data[at + 5], min(len(data), at + 10 + safe(data[at + 6 : at + 10]))
+    body = data[at + 10 : end]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    p, name, size = 0, 4 if major > 2 else 3, 10 if major > 2 else 6
+    if flags & 0x40 and len(body) >= 4 and major > 2:  # an extended header, whose size counts itself in 2.4 only
+        p = safe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    while p + size <= len(body) and body[p]:
+        key, number = body[p : p + name].decode("latin-1"), body[p + name : p + 2 * name]
+        n = safe(number) if major == 4 else int.from_bytes(number, "big")
+        value = body[p + size : p + size + n]
+        if key[0] == "T" and value:
+            text = value[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(value[0], 3)], "replace").strip("\0")
+            first, _, rest = text.partition("\0")
+            tags.update({f"TXXX:{first}": rest} if key in ("TXXX", "TXX") else {key: text})
+        p += size + n
+    return min(len(data), end + (10 if major == 4 and flags & 0x10 else 0))
 
 
 def parse(data: bytes) -> Stream:
@@ -152,7 +201,7 @@ def parse(data: bytes) -> Stream:
         return {k: v for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)) if (v := data[tail + a : tail + b].split(b"\0")[0].decode("latin-1").strip())}
     at, first, sure, leads = 0, True, False, False
     last: Header | None = None
-    checked: dict[bytes, int] = {}
+    checked: dict[tuple[bytes, int], int] = {}
     known: dict[bytes, Header | None] = {}
 
     def seen(place: int) -> Header | None:
@@ -183,11 +232,11 @@ def parse(data: bytes) -> Stream:
             at, sure = (sync if sync >= 0 else stop), False
             continue
         body = at + 4 + 2 * h.protected
-        if h.protected and h.layer == 3:
-            guarded = data[at + 2 : at + 4] + data[body : body + h.side]
-            if guarded not in checked:
-                checked[guarded] = crc16(guarded)
-            ok = checked[guarded] == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.protected:
+            part = guarded(data, at, h)
+            if part not in checked:
+                checked[part] = crc16_bits(*part)
+            ok = checked[part] == int.from_bytes(data[at + 4 : at + 6], "big")
             right, wrong = right + ok, wrong + (not ok)
         mark = data[body + h.side : body + h.side + 4]
         vbri = data[at + 36 : at + 40] == b"VBRI"
@@ -195,6 +244,8 @@ def parse(data: bytes) -> Stream:
             p = body + h.side + 8
             if vbri:
                 info = {"bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big")}
+                entries, scale, width = (int.from_bytes(data[at + k : at + k + 2], "big") for k in (54, 56, 58))
+                toc = [scale * int.from_bytes(data[at + 62 + k * width : at + 62 + (k + 1) * width], "big") for k in range(entries) if at + 62 + (k + 1) * width <= at + h.length]
             else:
                 flags, info = int.from_bytes(data[p - 4 : p], "big"), {}
                 for bit, name in ((1, "frames"), (2, "bytes")):
@@ -230,7 +281,7 @@ MEDIA = "doc_id long, media binary"
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id and media, the document's stream. A null text counts as empty; other columns are left out; every row gives one row."""
+    """doc_id and media, the document's stream. A null text counts as empty; other columns are left out; every row gives one row, repeated ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in in_parts(batches):
@@ -239,19 +290,20 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MEDIA)
 
 
-FEATURES = "doc_id long, duration_s double, n_frames long, hertz int, kbps array<int>, checksums_right long, checksums_wrong long, skipped_bytes long, tags map<string,string>, seek_offsets array<long>"
+FEATURES = "doc_id long, duration_s double, n_frames long, hertz int, kbps array<int>, checksums_right long, checksums_wrong long, skipped_bytes long, tags map<string,string>, seek_offsets array<long>, table_frames long, table_bytes long, table_seek array<long>"
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Of each stream (doc_id, media): exact duration, frames, checksums, tags and the offset of every frame. Null or broken media have no frames and duration 0."""
+    """Of each stream (doc_id, media): exact duration, frames, checksums, tags, the offset of every frame, and what its variable-bitrate table says (null, and no seek points,
+    without one). Null, empty or broken media have no frames and duration 0; repeated rows and null ids each keep their row; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in in_parts(batches):
             out = []
             for doc_id, x in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
                 s = parse(x.as_py() or b"")
-                out.append((doc_id, s.samples / s.hertz if s.hertz else 0.0, len(s.offsets), s.hertz, s.kbps, *s.checksums, s.skipped, list(s.tags.items()), s.offsets))
-            types = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64())]
+                out.append((doc_id, s.samples / s.hertz if s.hertz else 0.0, len(s.offsets), s.hertz, s.kbps, *s.checksums, s.skipped, list(s.tags.items()), s.offsets, (s.info or {}).get("frames"), (s.info or {}).get("bytes"), s.toc))
+            types = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, FEATURES)
@@ -261,7 +313,11 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores each text, reads the stream back and digests what it holds; a row per row of docs."""
+    """Stores each text, reads the stream back and digests what it holds; a row per row of docs.
+
+    A null text counts as an empty one, whose stream is one frame of padding; texts are stored whole, however long. Repeated rows and null ids each keep their row; an empty
+    table gives no rows; other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -280,3 +336,32 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """The same streams as hexadecimal text: tag, table frame, and a frame for each UNIT bytes of the payload."""
+    start = _START.hex().upper()
+    size = f"(({_FRAME} * (n + 1))::BIGINT)"
+    toc = f"list_aggregate(list_transform(range(100), lambda i: printf('%02X', least(255, 256 * ({_FRAME} + i * n // 100 * {_FRAME}) // {size}))), 'string_agg', '')"
+    safe = lambda e: "||".join(f"printf('%02X', ({e}) >> {s} & 127)" for s in (21, 14, 7, 0))
+    text = f"'{(chr(3) + 'n_bytes' + chr(0)).encode().hex().upper()}' || hex(encode(n_bytes::VARCHAR))"
+    body = f"'{b'TXXX'.hex().upper()}' || {safe('(length(v) // 2)')} || '0000' || v"
+    info = f"'{start}' || '{b'Info'.hex().upper()}' || printf('%08X%08X%08X', 7, n, {size}) || {toc}"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(32), lambda i: ('0x' || p[length(p) - 64 + 2 * i + 1:length(p) - 64 + 2 * i + 2])::BIGINT)), lambda s, x: xor(list_extract(CAST({[_crc32(n) for n in range(256)]} AS BIGINT[]), (xor(s, x) & 255) + 1), s >> 8)), 4294967295::BIGINT)"
+    return f"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
+payloads AS (SELECT doc_id, n_bytes, n, h || repeat('FF', n * {UNIT} - n_bytes) AS p, {text} AS v FROM (SELECT *, greatest(1, (n_bytes + {UNIT - 1}) // {UNIT})::BIGINT AS n FROM texts)),
+tagged AS (SELECT *, {body} AS b FROM payloads),
+streams AS (SELECT doc_id, n_bytes, n, p, length(b) // 2 AS tag, unhex('{b"ID3".hex().upper()}040000' || {safe("(length(b) // 2)")} || b || rpad({info}, {2 * _FRAME}, '0') ||
+  list_aggregate(list_transform(range(n), lambda i: rpad('{start}' || p[{2 * UNIT} * i + 1:{2 * UNIT} * (i + 1)], {2 * _FRAME}, '0')), 'string_agg', '')) AS m FROM tagged)
+SELECT doc_id, n_bytes, n * {UNIT} AS payload_bytes, sha256(unhex(p)) AS payload_sha256, {crc} AS tail_crc32, octet_length(m)::BIGINT AS media_bytes, sha256(m) AS media_sha256,
+  'frames=' || n || ';samples=' || 1152 * n || ';hertz=48000;kbps=224;checksums=' || n + 1 || '/0;seek=' || tag + 10 + {_FRAME} || '-' || tag + 10 + {_FRAME} * n || ';skipped=0' AS feature FROM streams"""
+
+
+def _crc32(n: int) -> int:
+    for _ in range(8):
+        n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
+    return n
+
+
+ORACLE_SQL = _oracle()

@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontam.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
+    "op5_mpeg_audio": mpeg.ORACLE_SQL,
     "op6_secret_scan": secrets.ORACLE_SQL,
     "op8_license_scan": licenses.ORACLE_SQL,
     "op9_chat_format": chat.ORACLE_SQL,

@@ -55,9 +55,27 @@ def make_linear_system(L: Sparse, trimap: np.ndarray, lambda_value=100.0) -> tup
     return L + Sparse.diagonal(lambda_value * known), lambda_value * fg.astype(np.float64)
 
 
-def _factory(preconditioner, default: str) -> Callable:
+def _factory(preconditioner, default: str, shape: tuple[int, int], inside: np.ndarray | None = None) -> Callable:
+    """A function of the matrix. inside: the pixels of the image that the matrix is about; the V-cycle, which works on whole images, sees the others as decoupled."""
     chosen = default if preconditioner is None else preconditioner
-    return PRECONDITIONERS[chosen] if isinstance(chosen, str) else chosen
+    if chosen != "vcycle":
+        return PRECONDITIONERS[chosen] if isinstance(chosen, str) else chosen
+    if inside is None:
+        return lambda A: vcycle(A, shape)  # noqa: N803
+
+    def whole(A: Sparse) -> Callable:  # noqa: N803
+        at, n = np.flatnonzero(inside), len(inside)
+        rest = np.flatnonzero(~inside)
+        cycle = vcycle(Sparse(np.concatenate((at[A.i], rest)), np.concatenate((at[A.j], rest)), np.concatenate((A.v, np.full(len(rest), A.diag().mean()))), (n, n)), shape)
+
+        def apply(r: np.ndarray) -> np.ndarray:
+            full = np.zeros(n)
+            full[at] = r
+            return cycle(full)[at]
+
+        return apply
+
+    return whole
 
 
 def estimate_alpha_cf(image, trimap, preconditioner=None, laplacian_kwargs=None, cg_kwargs=None) -> np.ndarray:
@@ -69,7 +87,7 @@ def estimate_alpha_cf(image, trimap, preconditioner=None, laplacian_kwargs=None,
     alpha = np.array(trimap, np.float64).ravel()
     if unknown.any():
         b = -L.block(unknown, known).dot(fg[known].astype(np.float64))
-        alpha[unknown] = cg(inner, b, M=_factory(preconditioner, "ichol")(inner), **(cg_kwargs or {}))
+        alpha[unknown] = cg(inner, b, M=_factory(preconditioner, "ichol", trimap.shape, unknown)(inner), **(cg_kwargs or {}))
     return np.clip(alpha, 0, 1).reshape(trimap.shape)
 
 
@@ -77,7 +95,7 @@ def _soft(name: str, default: str) -> Callable[..., np.ndarray]:
     def estimate(image, trimap, preconditioner=None, laplacian_kwargs=None, cg_kwargs=None) -> np.ndarray:
         sanity_check_image(image)
         A, b = make_linear_system(LAPLACIANS[name](image, **(laplacian_kwargs or {})), trimap)  # noqa: N806
-        x = cg(A, b, M=_factory(preconditioner, default)(A), **(cg_kwargs or {}))
+        x = cg(A, b, M=_factory(preconditioner, default, trimap.shape)(A), **(cg_kwargs or {}))
         return np.clip(x, 0, 1).reshape(trimap.shape)
 
     estimate.__name__ = f"estimate_alpha_{name}"
@@ -318,7 +336,10 @@ def estimate_foreground_cf(image, alpha, regularization=1e-5, rtol=1e-5, neighbo
     s, k = smooth, np.arange(n)
     rows, cols = np.concatenate((s.i, s.i + n, k, k, k + n, k + n)), np.concatenate((s.j, s.j + n, k, k + n, k, k + n))
     A = Sparse(rows, cols, np.concatenate((s.v, s.v, a * a, a * (1 - a), a * (1 - a), (1 - a) ** 2)), (2 * n, 2 * n))  # noqa: N806
-    M = ichol(A, **(ichol_kwargs or {}))  # noqa: N806
+    pairs = np.arange(2 * n).reshape(2, n).T.ravel()  # a pixel's two unknowns side by side: the entries lie near the diagonal, and the factor is banded
+    place = np.argsort(pairs)
+    factor = ichol(Sparse(place[A.i], place[A.j], A.v, A.shape), **(ichol_kwargs or {}))
+    M = lambda r: factor(r[pairs])[place]  # noqa: E731, N806
     F, B = (np.array(image if g is None else g, np.float64) for g in (foreground_guess, background_guess))  # noqa: N806
     for c in range(d):
         v = np.asarray(image[:, :, c], np.float64).ravel()

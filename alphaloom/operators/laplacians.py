@@ -141,12 +141,9 @@ def _lbdm_blocks(epsilon: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = np.array([[[*p["c"], 1.0] for p in m] for m in pdf["m"]])
             i = np.array([[p["i"] for p in m] for m in pdf["m"]])
-            s = x.shape[1]
-            k = np.einsum("kia,kja->kij", x, x)
-            e = np.eye(s) - np.linalg.solve(k + epsilon * np.eye(s), k)
-            v = np.einsum("kia,kja->kij", e, e)
+            s = i.shape[1]
+            v = kernels.lbdm_blocks(np.array([[p["c"] for p in m] for m in pdf["m"]]), epsilon)
             yield pd.DataFrame({"image_id": np.repeat(pdf["image_id"].to_numpy(), s * s), "i": np.repeat(i, s, axis=1).ravel(), "j": np.tile(i, (1, s)).ravel(), "v": v.ravel()})
 
     return run

@@ -181,13 +181,14 @@ def foreground_jacobi_step(pixels: DataFrame, regularization: float = 1e-5) -> D
 
 
 def foreground_jacobi(pixels: DataFrame, height: int, width: int, regularization: float = 1e-5, n_small_iterations: int = 10, n_big_iterations: int = 2, small_size: int = 32) -> DataFrame:
-    """estimators.estimate_foreground_ml_jacobi as a plan, for images of one size. Every level is written, so that no plan holds the levels below it."""
+    """estimators.estimate_foreground_ml_jacobi as a plan, for images of one size. Every level is written, so that no plan holds the levels below it, and dealt by image, so that
+    the frames of its updates, along rows and along columns, need no shuffle."""
     fb = [f"{p}_{c}" for p in "fb" for c in RGB]
     pixels = written(pixels.select("image_id", "y", "x", *RGB, "alpha"), "pixels")
     first = pixels.filter((F.col("y") == 0) & (F.col("x") == 0))
     state = first.select("image_id", "y", "x", *(F.col(c[2:]).alias(c) for c in fb))
     for h, w in estimators.pyramid(height, width):
-        level = resize(pixels, h, w, [*RGB, "alpha"]).join(resize(state, h, w, fb), ["image_id", "y", "x"])
+        level = resize(pixels, h, w, [*RGB, "alpha"]).join(resize(state, h, w, fb), ["image_id", "y", "x"]).repartition("image_id")
         for _ in range((n_small_iterations if min(h, w) <= small_size else n_big_iterations) - 1):
             level = foreground_jacobi_step(level, regularization)
         state = written(level.select("image_id", "y", "x", *fb), "level")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.operators import laplacians as lap
 from alphaloom.operators import matrix, neighbours, pixels
-from alphaloom.plans import estimators, images
+from alphaloom.plans import images
 from alphaloom.sources import rasters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,14 +25,14 @@ FB = [f"{p}_{c}" for p in "fb" for c in RGB]
 H, W = rasters.ROWS, 21
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return _rounded(f(spark, sf_dir))
+            return _rounded(f(spark, sf_dir), digits)
 
         QUERIES[name] = run
         if sql is not None:
@@ -371,11 +371,6 @@ def _(spark, d):
     return lap.lkm_diagonal(rgb(spark, d))
 
 
-@query("t_lbdm_laplacian")
-def _(spark, d):
-    return lap.lbdm_laplacian(rgb(spark, d))
-
-
 _SYSTEM = [
     *_lap_sql("1.0::DOUBLE"),
     _KNOWN,
@@ -449,23 +444,7 @@ def _(spark, d):
     return matrix.matvec(matrix.restriction(sizes), vec(spark, d))
 
 
-@query("t_ichol_solve")
-def _(spark, d):
-    a, b = lap.make_linear_system(lap.cf_laplacian(rgb(spark, d)), known(spark, d))
-    return images.solve(a, b, "ichol")
-
-
-# --- alpha and foreground --------------------------------------------------------------------------------------------------------------------------------------------------
-
-
-def _alpha(method: str) -> None:
-    @query(f"t_alpha_{method}")
-    def _(spark, d):
-        return images.estimate_alpha(tri(spark, d), method, **({"laplacian_kwargs": {"radius": 1}} if method == "lkm" else {}))
-
-
-for _m in ("cf", "lkm", "knn", "rw", "lbdm", "sm"):
-    _alpha(_m)
+# --- shared matting ------------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
 @query(
@@ -530,62 +509,4 @@ def _(spark, d):
     return images.smooth_colours(p.withColumn("alpha", F.when(F.col("t").isin(0.0, 1.0), F.col("t")).otherwise(alpha)), 2)
 
 
-@query("t_sample_gathering")
-def _(spark, d):
-    def run(pdf):
-        image, t = images.as_array(pdf, RGB), images.as_array(pdf, ["t"])
-        f, b, alpha = estimators.sample_gathering(image, t, image[t == 1].mean(axis=0), image[t == 0].mean(axis=0))
-        return images.as_pixels(pdf["image_id"].iloc[0], {f"{p}_{c}": a[:, :, k] for p, a in (("f", f), ("b", b)) for k, c in enumerate(RGB)} | {"alpha": alpha})
-
-    return tri(spark, d).groupBy("image_id").applyInPandas(run, images.FB_SCHEMA + ", alpha double")
-
-
-def _jacobi_sql() -> str:
-    """The pyramid with one update a level, unrolled."""
-    views = ["fs0 AS (SELECT image_id, 0 AS y, 0 AS x, " + ", ".join(f"{c[2:]} AS {c}" for c in FB) + " FROM tri WHERE y = 0 AND x = 0)"]
-    h0, w0 = 1, 1
-    for n, (h, w) in enumerate(estimators.pyramid(H, W)):
-        near = ", ".join(f"{f}({c}, 1, {c}) OVER {o} AS n{k}_{c}" for k, (f, o) in enumerate((("lag", "xs"), ("lead", "xs"), ("lag", "ys"), ("lead", "ys"))) for c in [*FB, "t"])
-        s = " + ".join(f"abs(t - n{k}_t) + 0.00001::DOUBLE" for k in range(4))
-        rhs = lambda a, p, c: f"({a} * {c} + " + " + ".join(f"(abs(t - n{k}_t) + 0.00001::DOUBLE) * n{k}_{p}_{c}" for k in range(4)) + ")"
-        a00, a01, a11 = "(t * t + s)", "(t * (1 - t))", "((1 - t) * (1 - t) + s)"
-        det = f"({a00} * {a11} - {a01} * {a01})"
-        new = ", ".join(
-            [_clip(f"({a11} * {rhs('t', 'f', c)} - {a01} * {rhs('(1 - t)', 'b', c)}) / {det}") + f" AS f_{c}" for c in RGB] + [_clip(f"({a00} * {rhs('(1 - t)', 'b', c)} - {a01} * {rhs('t', 'f', c)}) / {det}") + f" AS b_{c}" for c in RGB]
-        )
-        views += [
-            f"lv{n} AS MATERIALIZED (SELECT p.image_id, CAST(i // {w} AS INT) AS y, CAST(i % {w} AS INT) AS x, p.r, p.g, p.b, p.t, {', '.join(f'q.{c}' for c in FB)} FROM (SELECT unnest(range({h * w})) AS i) g "
-            f"JOIN tri p ON p.y = (i // {w}) * {H} // {h} AND p.x = (i % {w}) * {W} // {w} JOIN fs{n} q ON q.image_id = p.image_id AND q.y = (i // {w}) * {h0} // {h} AND q.x = (i % {w}) * {w0} // {w})",
-            f"nb{n} AS MATERIALIZED (SELECT *, {near} FROM lv{n} WINDOW xs AS (PARTITION BY image_id, y ORDER BY x), ys AS (PARTITION BY image_id, x ORDER BY y))",
-            f"fs{n + 1} AS MATERIALIZED (SELECT image_id, y, x, {new} FROM (SELECT *, {s} AS s FROM nb{n}))",
-        ]
-        h0, w0 = h, w
-    return sql(f"SELECT {K}, {r6s(FB)} FROM fs{len(estimators.pyramid(H, W))}", *views)
-
-
-@query("t_fg_ml_jacobi", _jacobi_sql())
-def _(spark, d):
-    return images.foreground_jacobi(tri(spark, d).withColumn("alpha", F.col("t")), H, W, n_small_iterations=2, n_big_iterations=2)
-
-
-def _foreground(name: str, method: str) -> None:
-    @query(name)
-    def _(spark, d):
-        return images.estimate_foreground(tri(spark, d).withColumn("alpha", F.col("t")), method)
-
-
-for _n, _m in (("t_fg_ml", "ml"), ("t_fg_cf", "cf"), ("t_fg_ml_gpu", "jacobi")):
-    _foreground(_n, _m)
-
-
-def cutout_pixels(p: DataFrame, method: str = "lkm", **options) -> DataFrame:
-    """r, g, b, a as bytes of images with a trimap: alpha, then the multi-level foreground, stacked."""
-    alpha = images.estimate_alpha(p, method, **options)
-    both = p.select(*KEY, *RGB).join(alpha, KEY)
-    fg = images.estimate_foreground(both, "ml").join(alpha, KEY)
-    return fg.select(*KEY, *(pixels.to_byte(F.col(f"f_{c}")).alias(c) for c in RGB), pixels.to_byte(F.col("alpha")).alias("a"))
-
-
-@query("t_cutout")
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cutout_pixels(tri(spark, sf_dir), "lkm", laplacian_kwargs={"radius": 1})
+from alphaloom import estimates  # noqa: E402, F401  (registers its queries)

@@ -35,6 +35,17 @@ def with_trimap(pixels: DataFrame, fg: int = 2, bg: int = 18) -> DataFrame:
     return pixels.withColumn("t", F.when(F.col("x") <= fg, F.lit(1.0)).when(F.col("x") >= bg, F.lit(0.0)).otherwise(F.lit(0.5)))
 
 
+#: Foreground and background colour of composites, and how much of the raster's noise lies over them.
+FOREGROUND, BACKGROUND, NOISE = (0.9, 0.2, 0.1), (0.1, 0.4, 0.8), 0.05
+
+
+def composite(tri: DataFrame, fg: int = 2, bg: int = 18) -> DataFrame:
+    """image_id, y, x, r, g, b, t, alpha: of pixels with a trimap, images of two colours whose alpha falls from 1 at column fg to 0 at column bg, with the pixels as noise."""
+    alpha = 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("x") - fg) / float(bg - fg)))
+    mixed = lambda c, f, b: F.col("alpha") * f + (1 - F.col("alpha")) * b + NOISE * (F.col(c) - 0.5)
+    return tri.withColumn("alpha", alpha).select("image_id", "y", "x", *(mixed(c, f, b).alias(c) for c, f, b in zip("rgb", FOREGROUND, BACKGROUND, strict=True)), "t", "alpha")
+
+
 def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, y, x, v: mean discount by part and quantity on a dense 32 x 50 grid, 0 where there is none."""
     cells = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 32).cast("int").alias("y"), (F.floor("l_quantity").cast("int") - 1).alias("x"))
@@ -51,6 +62,12 @@ rgb AS (SELECT a.image_id, a.y, a.x, a.v AS r, b.v AS g, c.v AS b FROM raster a
   JOIN raster c ON c.image_id = a.image_id AND c.y = a.y AND c.x = a.x + 42 WHERE a.x < 21),
 tri AS (SELECT *, CASE WHEN x <= 2 THEN 1.0::DOUBLE WHEN x >= 18 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS t FROM rgb)"""
 
+COMPOSITE_SQL = (
+    "comp AS MATERIALIZED (SELECT image_id, y, x, t, alpha, "
+    + ", ".join(f"alpha * {f}::DOUBLE + (1 - alpha) * {b}::DOUBLE + {NOISE}::DOUBLE * ({c} - 0.5::DOUBLE) AS {c}" for c, f, b in zip("rgb", FOREGROUND, BACKGROUND, strict=True))
+    + " FROM (SELECT *, 1 - greatest(0.0::DOUBLE, least(1.0::DOUBLE, (x - 2) / 16.0::DOUBLE)) AS alpha FROM tri))"
+)
+
 HEAT_SQL = """
 cells AS (SELECT CAST(l_partkey % 32 AS INT) AS y, CAST(floor(l_quantity) AS INT) - 1 AS x, avg(CAST(l_discount AS DOUBLE)) * 10 AS v FROM lineitem GROUP BY 1, 2),
 heat AS (SELECT 0::BIGINT AS image_id, g.y, g.x, coalesce(v, 0.0::DOUBLE) AS v FROM (SELECT CAST(i // 50 AS INT) AS y, CAST(i % 50 AS INT) AS x FROM range(1600) t(i)) g LEFT JOIN cells USING (y, x))"""

@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def frame_of_sql(sql: str, sf_dir: str) -> pd.DataFrame:
-    con = duckdb.connect()
+    con = duckdb.connect(config={"max_temp_directory_size": "2GB"})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con.execute(sql).df()

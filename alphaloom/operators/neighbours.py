@@ -212,3 +212,8 @@ def knn(points: DataFrame, queries: DataFrame, k: int, broadcast_rows: int = 100
 def best_of(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     """The k first rows of each group."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank")
+
+
+def bounding_boxes(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """dim, low and high of the points (f, an array) of each group: the box that holds them."""
+    return points.select(*by, F.posexplode("f").alias("dim", "v")).groupBy(*by, "dim").agg(F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))

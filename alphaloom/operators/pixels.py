@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KEY = ["image_id", "y", "x"]
 RGB = ["r", "g", "b"]
@@ -181,3 +182,9 @@ def error_metrics(df: DataFrame, a: str, b: str, weight: str | None = None, by:
 def solver_statistics(records: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Mean, population deviation and maximum of each value by group."""
     return records.groupBy(*by).agg(*(f(v).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max))), F.count(F.lit(1)).alias("n"))
+
+
+def ordered(records: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """The mean of a value by group, and each group's place from the least on, ties by name: the order of bars in a chart. One row a group is sorted."""
+    means = records.groupBy(*by).agg(F.avg(value).alias(f"{value}_mean"))
+    return means.withColumn("place", F.row_number().over(Window.orderBy(f"{value}_mean", *by)))

@@ -47,6 +47,24 @@ def estimate_alpha(pixels: DataFrame, method: str | Callable = "cf", **options)
     return pixels.select("image_id", "y", "x", *RGB, "t").groupBy("image_id").applyInPandas(run, ALPHA_SCHEMA)
 
 
+def iterates(pixels: DataFrame, steps: int, laplacian: str = "cf", **laplacian_kwargs) -> DataFrame:
+    """image_id, iteration (from 1), y, x, alpha: how alpha comes about, a frame for each of the first steps of Jacobi-preconditioned conjugate gradients."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image, trimap = as_array(pdf, RGB), as_array(pdf, ["t"])
+        A, b = estimators.make_linear_system(estimators.LAPLACIANS[laplacian](image, **laplacian_kwargs), trimap)  # noqa: N806
+        frames = []
+        keep = lambda A, x, *_: frames.append(np.clip(x, 0, 1).reshape(trimap.shape))  # noqa: E731, N803
+        try:
+            estimators.cg(A, b, M=estimators.jacobi(A), maxiter=steps, callback=keep)
+        except ValueError:
+            pass  # not there yet after so many steps: the frames are what is asked for
+        out = [as_pixels(pdf["image_id"].iloc[0], {"alpha": f}).assign(iteration=np.int32(k)) for k, f in enumerate(frames, 1)]
+        return pd.concat(out)[["image_id", "iteration", "y", "x", "alpha"]]
+
+    return pixels.select("image_id", "y", "x", *RGB, "t").groupBy("image_id").applyInPandas(run, "image_id long, iteration int, y int, x int, alpha double")
+
+
 def estimate_foreground(pixels: DataFrame, method: str | Callable = "ml", **options) -> DataFrame:
     """Foreground f_r, f_g, f_b and background b_r, b_g, b_b of images (image_id, y, x, r, g, b, alpha), one image a group."""
     f = estimators.FOREGROUND[method] if isinstance(method, str) else method

@@ -333,13 +333,13 @@ def _knn_sql(k: int, weight: float) -> str:
     "t_knn_laplacian",
     sql(
         f"SELECT image_id, i, j, {r6('sum(v)', 'v')} FROM (SELECT image_id, i, j, -v AS v FROM wn UNION ALL SELECT image_id, CAST(y * {W} + x AS BIGINT), CAST(y * {W} + x AS BIGINT), 1.0::DOUBLE FROM rgb) GROUP BY 1, 2, 3",
-        f"ed AS ({_knn_sql(10, 2.0)} UNION ALL {_knn_sql(5, 0.1)})",
+        f"ed AS ({_knn_sql(20, 2.0)} UNION ALL {_knn_sql(10, 0.1)})",
         "wt AS (SELECT image_id, i, j, count(*)::DOUBLE AS v FROM (SELECT * FROM ed UNION ALL SELECT image_id, j, i FROM ed) GROUP BY 1, 2, 3)",
         "wn AS (SELECT image_id, i, j, v / sum(v) OVER (PARTITION BY image_id, i) AS v FROM wt)",
     ),
 )
 def _(spark, d):
-    return lap.knn_laplacian(rgb(spark, d), (10, 5), (2.0, 0.1))
+    return lap.knn_laplacian(rgb(spark, d))
 
 
 _INV = {
@@ -509,4 +509,4 @@ def _(spark, d):
     return images.smooth_colours(p.withColumn("alpha", F.when(F.col("t").isin(0.0, 1.0), F.col("t")).otherwise(alpha)), 2)
 
 
-from alphaloom import estimates  # noqa: E402, F401  (registers its queries)
+from alphaloom import details, estimates  # noqa: E402, F401  (they register their queries)

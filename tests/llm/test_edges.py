@@ -5,7 +5,7 @@ import pytest
 from alphaloom.llm import chat, decontam, dedup, language, licenses, mpeg, packing, quality, secrets, sharding
 
 LONG = "lorem ipsum dolor sit amet " * 20000
-CLASHING = ["shard", "slot", "key", "bin", "node", "open", "score", "predicted", "held_out", "spans", "size", "n", "start", "h", "label", "band", "_t", "_n", "_key", "_bucket", "_base", "_id", "digest", "ws"]
+CLASHING = ["shard", "slot", "key", "bin", "node", "open", "score", "predicted", "held_out", "spans", "size", "n", "start", "h", "label", "band", "_t", "_n", "_key", "_bucket", "_base", "_id", "digest", "ws", "_runs", "row", "t", "number", "new", "every", "random"]
 
 
 def rows():
@@ -90,12 +90,92 @@ def test_defined_results(docs, labels):
     assert s[2].size == s[3].size == 1 and s[2].text_crc32 == 0
 
 
+def rows_of_chat(df):
+    return sorted(((r.conv_id, r.n_turns, r.n_copies, r.chat) for r in df.collect()), key=str)
+
+
 def test_chat(spark):
-    turns = [(1, 0, "user", "hi"), (1, 1, "bot", None), (2, 0, "user", "hi"), (3, None, None, "x"), (3, 0, "user", ""), (None, 0, "user", "hi"), (4, 0, "user", "<|end|>"), (5, 0, "user", "<|end|>"), (6, 0, "a", "b"), (6, 0, "a", "b")]
-    wide = spark.createDataFrame([(*t, "!", "!") for t in turns], "conv_id long, turn long, role string, text string, _n string, chat string")
+    turns = [(1, 0, "user", "hi"), (1, 1, "bot", None), (2, 0, "user", "hi"), (3, None, None, "x"), (3, 0, "user", ""), (None, 0, "user", "hi"), (None, 0, "z", "hi"), (4, 0, "user", "<|end|>"), (5, 0, "user", "<|end|>"), (6, 0, "a", "b"), (6, 0, "a", "b")]
+    wide = spark.createDataFrame([(*t, "!", "!") for t in turns], "conv_id long, turn long, role string, text string, n string, chat string")
     got = {r.conv_id: r for r in chat.maximal_conversations(wide).collect()}
-    assert set(got) == {1, 3, 4, 6}
+    assert set(got) == {None, 1, 3, 4, 6}
     assert got[1].chat == "<|user|>\nhi\n<|end|>\n<|bot|>\n\n<|end|>\n"
-    assert got[4].n_copies == 2 and "< |end|>" in got[4].chat
+    assert got[None].chat == "<|z|>\nhi\n<|end|>\n"
+    assert got[4].n_copies == 2 and "<\\|end|\\>" in got[4].chat
     assert got[6].n_turns == 2
     assert chat.maximal_conversations(wide.limit(0)).count() == 0
+
+
+def test_chat_keeps_different_conversations_apart(spark):
+    turns = [(1, 0, "u|>\nx", "y"), (2, 0, "u", "x|>\ny"), (3, 0, "u", "<|q"), (4, 0, "u", "< |q"), (5, 0, "u", "<\\|q"), (6, 0, "long", "word " * 200_000)]
+    got = rows_of_chat(chat.maximal_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    assert [r[0] for r in got] == [1, 2, 3, 4, 5, 6] and len({r[3] for r in got}) == 6
+
+
+def canonical(text):
+    """The canonical form, by lines and words instead of patterns over the whole text."""
+    out = []
+    for line in text.lower().split("\n"):
+        lead = line.lstrip(" \t*#/-;.")
+        if lead.startswith(("copyright (c)", "copyright 1", "copyright 2", "copyright ©", "(c) 1", "(c) 2", "© 2", "copyright: ", "copyright by ")):
+            continue
+        if lead.rstrip(" .*/#") == "all rights reserved":
+            continue
+        for mark in ("1. ", "2. ", "3. ", "* ", "- ", "(a) ", "a) "):
+            if line.strip().startswith(mark):
+                line = line.strip()[len(mark) :]
+        out.append(line)
+    text = " ".join(out).replace("licence", "license").replace("&", " and ").replace("https://", "http://").replace("non-infringement", "noninfringement").replace("copyright holders", "copyright holder").replace("copyright owner", "copyright holder")
+    return " ".join("".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in text).split())
+
+
+def test_altered_licenses(spark):
+    import hashlib
+    import os
+    import textwrap
+
+    from alphaloom.llm.license_texts import DIGESTS, KNOWN
+
+    cases, want = [], []
+
+    def case(text, expected):
+        cases.append((len(cases), text))
+        want.append(expected)
+
+    mit, bsd = KNOWN["MIT"], KNOWN["BSD-3-Clause"]
+    case("Copyright (c) 2019-2024 Jane Doe <jane@example.org>\n\n" + mit, "MIT")
+    case("MIT Licence\n\nCopyright © 2020, Example GmbH. All rights reserved.\n\n" + mit, "MIT (titled)")
+    case(mit.upper(), "MIT")
+    case("\n".join(textwrap.wrap(mit.replace("\n", " "), 40)), "MIT")
+    case("\n".join("# " + x for x in textwrap.wrap(mit.replace("\n", " "), 60)), "MIT")
+    case(mit.replace('"', "'").replace("NONINFRINGEMENT", "NON-INFRINGEMENT"), "MIT")
+    case("Copyright (c) 1999 A\nCopyright (c) 2001 B\nAll rights reserved.\n\n" + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "BSD-3-Clause")
+    case(mit.replace("publish, ", ""), None)
+    case(mit + " And one more sentence.", None)
+    case("Some code before. " + mit, None)
+    case(bsd.replace("promote products", "sell products"), None)
+    case("", None)
+    case(None, None)
+    case(" .,;!\n", None)
+    case("x" * 20_000_000, None)
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1")):
+        if os.path.exists(path := f"/usr/share/common-licenses/{file}"):
+            with open(path, encoding="utf-8") as f:
+                text = f.read()
+            case(text, name)
+            case(" ".join(text.upper().split(" ")), name)
+            case(text.replace("License", "Agreement", 1), None)
+    docs = spark.createDataFrame(cases, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs, licenses.known_digests(spark)).collect()}
+    assert [got[i].license_id for i in range(len(cases))] == want
+    for i, text in cases[:11]:
+        assert got[i].digest == hashlib.md5(canonical(text).encode()).hexdigest(), i
+    assert len(DIGESTS) > 20
+    own = licenses.known_digests(spark, spark.createDataFrame([("House", "Do as you like. Copyright 2020 us"), ("None", "...")], "license_id string, text string"))
+    assert [r.license_id for r in licenses.scan_licenses(spark.createDataFrame([(1, "do as you like")], "doc_id long, text string"), licenses.known_digests(spark, {"House": "Do as you like."})).collect()] == ["House"]
+    assert own.count() == 1
+
+
+def test_redaction_keeps_columns_that_clash(docs, spark):
+    got = secrets.redact(docs, secrets.train(secrets.labelled_samples(docs)))
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))

@@ -34,7 +34,7 @@ def test_language_id(stages):
 
 def test_near_dedup(stages):
     before, after = stages[1], stages[2]
-    want = brute_force(dict(zip(before["doc_id"], before["text"], strict=True)))
+    want = brute_force(dict(zip(before["doc_id"], before["text"], strict=True)), 80)
     assert sorted(after["doc_id"]) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
@@ -99,3 +99,46 @@ def test_run(spark, small, stages):
     got = corpus_pipeline.run(spark, small).toPandas()
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, got[key].to_numpy().tolist())) == sorted(map(tuple, stages[5][key].to_numpy().tolist()))
+
+
+CLASHING = ["_t", "_runs", "_gone", "_again", "_row", "row", "number", "gone", "rank", "id", "label", "new"]
+
+
+def edge_rows():
+    long = "word and other words of a long text " * 600_000  # over 20 MB
+    rows = [(1, "a text in plain words that says little", "en"), (2, None, "en"), (None, "no id but words of its own here", None), (3, "", None), (4, "12345 !!!", "en"), (5, long, "en"), (6, "same words for both of these rows", "en"), (6, "same words for both of these rows", "en"), (6, "other words under the same number here", None)]
+    return [(i, t, lang, "s", None if t is None else len(t), *["!"] * len(CLASHING)) for i, t, lang in rows]
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_every_stage_on_edges(spark, small, labelled):
+    rows = edge_rows()
+    if not labelled:
+        rows = [(*r[:2], None, *r[3:]) for r in rows]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` string" for c in CLASHING)).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    told = stages["language_id"](spark, docs, small)
+    assert told.columns == docs.columns and told.count() == 6  # with a letter
+    lang = {r.lang for r in told.collect()}
+    assert lang == ({"en"} if labelled else {None})
+    kept = stages["near_dedup"](spark, docs, small)
+    assert kept.columns == docs.columns and kept.count() == 8
+    for name in ("decontaminate", "secret_scan"):
+        out = stages[name](spark, docs, small)
+        assert out.columns == docs.columns and sorted((hash(r) for r in out.collect())) == sorted(hash(r) for r in docs.collect()), name
+    packed = stages["best_fit_packing"](spark, docs, small).toPandas()
+    assert (packed["piece"] == 0).sum() == len(rows) and packed.groupby("sequence_id")["length"].sum().max() <= 4096
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), small).count() == 0, name
+
+
+def test_near_dedup_at_four_fifths(spark, small):
+    words = [f"w{i}" for i in range(250)]
+    near = list(words)
+    for i in range(5):
+        near[20 + 45 * i] = f"new{i}"
+    share = lambda a, b: len(a & b) / len(a | b)
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, near)]
+    assert 0.80 <= share(*sets) < 0.85
+    got = kept(corpus_pipeline.near_dedup(spark, frame(spark, [(1, " ".join(words)), (2, " ".join(near))]), small))
+    assert [i for i, _ in got] == [1]

@@ -195,3 +195,59 @@ def test_helpers():
     assert div_round_up(7, 3) == 3 and div_round_up(6, 3) == 2
     assert isiterable([]) and not isiterable(3)
     assert Timer().stop() >= 0
+
+
+def test_cg_counts_updates():
+    count = K.CounterCallback()
+    assert np.allclose(K.cg(np.eye(4), np.ones(4), maxiter=1, callback=count), 1) and count.n == 1
+    assert np.allclose(K.cg(np.eye(4), np.ones(4), x0=np.ones(4), atol=1e-9, callback=count), 1) and count.n == 1  # there before the first step
+    seen = []
+    K.cg(np.diag([1.0, 2.0, 3.0]), np.ones(3), callback=lambda A, x, b, nb, r, nr: seen.append(nr))
+    assert len(seen) == 3 and seen[-1] < 1e-7 * np.sqrt(3)
+
+
+@pytest.mark.parametrize("options", [{}, {"diag_keep_discarded": False}, {"discard_threshold": 1e-2}, {"relative_discard_threshold": 1e-2}])
+def test_banded_factor_equals_the_general_one(monkeypatch, options):
+    image, trimap, _ = picture(9, 11)
+    A, _ = E.make_linear_system(K.cf_laplacian(image), trimap)
+    banded = K.ichol(A, **options).L.dense()
+    monkeypatch.setattr(K, "RING", 0)
+    assert np.allclose(banded, K.ichol(A, **options).L.dense(), atol=1e-12)
+
+
+def test_relative_threshold_goes_by_unshifted_columns():
+    a = np.array([[1.0, 0.5, 0.2], [0.5, 0.1, 0.3], [0.2, 0.3, 1.0]])
+    got = K.ichol(sparse(a), discard_threshold=0, shifts=[0.0, 1.0], relative_discard_threshold=0.15).L.dense()
+    assert got[2, 0] == 0 and got[1, 0] != 0  # 0.2 of 1.7; with the shift's 2.7 the 0.5 would still stay, the 0.2 would not either way
+
+
+@pytest.mark.parametrize("leaf", [1, 8, 40])
+def test_tree_with_ties_and_copies(leaf):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (400, 3)).astype(float)
+    full = ((x[:, None] - x) ** 2).sum(axis=2)
+    d, i = K.KDTree(x, leaf).query(x, 9)
+    assert (i == np.argsort(full, axis=1, kind="stable")[:, :9]).all() and np.allclose(d**2, np.sort(full, axis=1)[:, :9])
+    tree = K.KDTree(x, leaf)
+    assert sorted(np.concatenate(tree.leaves).tolist()) == list(range(400)) and max(map(len, tree.leaves)) <= 2 * leaf
+    assert all((tree.low[k] <= x[own]).all() and (x[own] <= tree.high[k]).all() for k, own in enumerate(tree.leaves))
+
+
+def test_vcycle_by_name():
+    image, trimap, _ = picture(20, 18)
+    for name in ("cf", "lbdm"):
+        want = E.ALPHA[name](image, trimap, cg_kwargs={"rtol": 1e-10})
+        assert np.abs(E.ALPHA[name](image, trimap, preconditioner="vcycle", cg_kwargs={"rtol": 1e-10}) - want).max() < 1e-5
+
+
+def test_preconditioners_save_iterations():
+    """The published bounds are of an image that is not at hand; the order of the methods is the same."""
+    image, trimap, _ = picture(48, 48)
+    A, b = E.make_linear_system(K.cf_laplacian(image), trimap)
+    counts = []
+    for m in (None, K.jacobi(A), K.vcycle(A, (48, 48)), K.ichol(A)):
+        count = K.CounterCallback()
+        x = K.cg(A, b, M=m, atol=1e-6, rtol=0, callback=count)
+        assert np.linalg.norm(A.dot(x) - b) <= 1e-6
+        counts.append(count.n)
+    assert counts == sorted(counts, reverse=True) and counts[-1] <= 4, counts

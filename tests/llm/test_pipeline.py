@@ -119,8 +119,9 @@ def test_every_stage_on_edges(spark, small, labelled):
     stages = dict(corpus_pipeline.STAGES)
     told = stages["language_id"](spark, docs, small)
     assert told.columns == docs.columns and told.count() == 6  # with a letter
-    lang = {r.lang for r in told.collect()}
-    assert lang == ({"en"} if labelled else {None})
+    assert {r.lang for r in told.select("lang").collect()} == ({"en"} if labelled else {None})
+    if not labelled:
+        return
     kept = stages["near_dedup"](spark, docs, small)
     assert kept.columns == docs.columns and kept.count() == 8
     for name in ("decontaminate", "secret_scan"):

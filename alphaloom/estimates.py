@@ -287,7 +287,7 @@ def _multilevel_sql(source: str, small: int = 10, big: int = 2, double_buffered:
         views += [
             _level_sql(f"l{n}", source, h, w),
             f"l{n}(image_id, y, x, {', '.join(FB)}, s) USING KEY (image_id, y, x) AS (SELECT *, 0 FROM ({_started(f'l{n - 1}', h, w, h0, w0)}) UNION "
-            f"SELECT p.image_id, p.y, p.x, {_solved_pair()}, z.s + 1 FROM (SELECT max(s) AS s FROM l{n}) z JOIN l{n}_p p ON (p.y + p.x) % {parts} = z.s % {parts} AND z.s < {rounds * parts} {near})",
+            f"SELECT p.image_id, p.y, p.x, {_solved_pair()}, z.s + 1 FROM (SELECT max(s) AS s FROM l{n}) z JOIN l{n}_p p ON {'' if parts == 1 else f'p.y + p.x = z.s % {parts} AND '}z.s < {rounds * parts} {near})",
         ]
         h0, w0 = h, w
     return [*views, f"fg AS (SELECT {K}, {', '.join(FB)} FROM l{len(sizes)})"]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Where intermediate tables go on a single machine whose session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/alphaloom"
+#: The session's bound on the bytes of an Arrow batch, and the bound while written() runs: by rows alone a batch of long texts has no bound.
+BATCH_BYTES, MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +34,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and later reads survive the loss of any executor. removed() deletes it."""
+    """df as a Parquet table in the shared folder: it cuts the lineage, and later reads survive the loss of any executor. removed() deletes it. Python workers get their rows
+    in batches of about MOST_BYTES, whatever the session says, which JVM and worker both hold."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(MOST_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -1,6 +1,8 @@
 """Null values in any column, empty and very long texts, repeated rows, empty tables, and extra columns with clashing names."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from alphaloom.llm import chat, decontam, dedup, language, licenses, mpeg, packing, quality, secrets, sharding
 
@@ -179,3 +181,19 @@ def test_altered_licenses(spark):
 def test_redaction_keeps_columns_that_clash(docs, spark):
     got = secrets.redact(docs, secrets.train(secrets.labelled_samples(docs)))
     assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_written_tables_bound_batches_and_leave_the_session_alone(spark):
+    from alphaloom.llm.common import BATCH_BYTES, MOST_BYTES, removed, written
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], ["n", "r"])
+
+    before = spark.conf.get(BATCH_BYTES)
+    texts = spark.range(0, 200, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    found = written(texts.mapInArrow(sizes, "n long, r long"), "sizes")
+    assert spark.conf.get(BATCH_BYTES) == before
+    got = found.collect()
+    assert len(got) > 1 and sum(x.r for x in got) == 200 and max(x.n for x in got) <= 2 * MOST_BYTES
+    removed(found)

@@ -26,19 +26,26 @@ def _table(offsets: Sequence[tuple]) -> Column:
     return F.array(*rows)
 
 
-def sized(df: DataFrame, h: str = "h", w: str = "w") -> DataFrame:
-    """Adds height and width of each image; the sizes are aggregated by image and joined back."""
+#: Height and width that images are declared to have. The pixels of it that an image does not hold, as those of the last one cut from a raster, are absent: windows are laid by the
+#: declared size and count the pixels there are, borders lie at the declared size, and nothing stands in for an absent pixel. None: each image's own size.
+Size = tuple[int, int] | None
+
+
+def sized(df: DataFrame, h: str = "h", w: str = "w", size: Size = None) -> DataFrame:
+    """Adds height and width of each image: the declared ones, else they are aggregated by image and joined back."""
+    if size is not None:
+        return df.withColumns({h: F.lit(size[0]), w: F.lit(size[1])})
     sizes = df.groupBy("image_id").agg((F.max("y") + 1).alias(h), (F.max("x") + 1).alias(w))
     return df.join(sizes, "image_id")
 
 
-def neighbours(df: DataFrame, offsets: Sequence[tuple], values: Sequence[str], policy: str = "skip") -> DataFrame:
+def neighbours(df: DataFrame, offsets: Sequence[tuple], values: Sequence[str], policy: str = "skip", size: Size = None) -> DataFrame:
     """Each pixel with each neighbour: image_id, y, x, ny, nx, dy, dx[, w], and the neighbour's values as n_<value>, besides df's columns.
 
     policy: skip (neighbours outside are left out), clamp (they are the nearest inside, repeats kept), interior (only pixels that have all neighbours).
     """
     reach = max(max(abs(o[0]), abs(o[1])) for o in offsets)
-    own = sized(df, "_h", "_w") if policy in ("clamp", "interior") else df
+    own = sized(df, "_h", "_w", size) if policy in ("clamp", "interior") else df
     if policy == "interior":
         own = own.filter(F.col("y").between(reach, F.col("_h") - 1 - reach) & F.col("x").between(reach, F.col("_w") - 1 - reach))
     fan = own.withColumn("_o", F.explode(_table(offsets))).select("*", "_o.*").drop("_o")
@@ -52,7 +59,7 @@ def neighbours(df: DataFrame, offsets: Sequence[tuple], values: Sequence[str], p
     return fan.join(other, ["image_id", "ny", "nx"])
 
 
-def box_sum(df: DataFrame, radius: int = 3, mode: str = "same", column: str = "v") -> DataFrame:
+def box_sum(df: DataFrame, radius: int = 3, mode: str = "same", column: str = "v", size: Size = None) -> DataFrame:
     """Sums over (2 radius + 1)^2 windows of dense images: two frames, one along each axis; a frame cut off at the border is zero padding.
 
     valid keeps the whole windows, full pads every image by 2 radius on each axis first. ValueError for a radius that is not positive.
@@ -72,7 +79,7 @@ def box_sum(df: DataFrame, radius: int = 3, mode: str = "same", column: str = "v
     across = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-radius, radius)
     out = rows.withColumn(column, F.sum(column).over(down)).withColumn(column, F.sum(column).over(across))
     if mode == "valid":
-        inside = sized(out).filter(F.col("y").between(radius, F.col("h") - 1 - radius) & F.col("x").between(radius, F.col("w") - 1 - radius))
+        inside = sized(out, size=size).filter(F.col("y").between(radius, F.col("h") - 1 - radius) & F.col("x").between(radius, F.col("w") - 1 - radius))
         out = inside.select("image_id", (F.col("y") - radius).alias("y"), (F.col("x") - radius).alias("x"), column)
     return out
 
@@ -122,26 +129,31 @@ def directional_difference(df: DataFrame, column: str = "v") -> DataFrame:
     return df.select(*KEY, step(x).alias("dx"), step(y).alias("dy"))
 
 
-def resize(df: DataFrame, height: int, width: int, columns: Sequence[str], method: str = "nearest") -> DataFrame:
+def resize(df: DataFrame, height: int, width: int, columns: Sequence[str], method: str = "nearest", size: Size = None) -> DataFrame:
     """nearest: the source pixel floor(i * n / m); box: the mean of the source pixels of a target pixel, with the shares in which they lie in it; bilinear, hamming,
-    bicubic, lanczos: weighted by the method's filter along each axis in turn, widened when shrinking.
+    bicubic, lanczos: weighted by the method's filter along each axis in turn, widened when shrinking. Of images with absent pixels, box takes the mean of those there are, the
+    filters take absent ones as 0, and target pixels without a source are absent.
     """
-    shape = df.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    if size is None:
+        shape = df.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    else:
+        shape = sized(df.select("image_id").distinct(), size=size)
     grid = df.sparkSession.range(height * width).select(F.expr(f"CAST(id DIV {width} AS INT)").alias("ty"), (F.col("id") % width).cast("int").alias("tx"))
     if method in ("nearest", "none"):
         target = shape.crossJoin(F.broadcast(grid))  # the grid has the fixed size asked for
         at = lambda t, n, m: F.least(F.expr(f"{t} * {n} DIV {m}").cast("int"), F.col(n) - 1)
         target = target.select("image_id", "ty", "tx", at("ty", "h", height).alias("y"), at("tx", "w", width).alias("x"))
         return target.join(df.select(*KEY, *columns), KEY).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *columns)
-    sizes = [(r.h, r.w) for r in shape.select("h", "w").distinct().collect()]
+    sizes = [size] if size is not None else [(r.h, r.w) for r in shape.select("h", "w").distinct().collect()]
     if len(sizes) > 1:
         raise ValueError("images of one size are resized at a time")
     out = df.select(*KEY, *columns)
+    whole = F.sum("_w") if method == "box" else F.lit(1.0)
     for axis, n, m in (("y", sizes[0][0] if sizes else 1, height), ("x", sizes[0][1] if sizes else 1, width)):
         weights = df.sparkSession.createDataFrame(axis_weights(n, m, method), f"{axis} int, _t int, _w double")
         other = "x" if axis == "y" else "y"
         joined = out.join(F.broadcast(weights), axis)  # at most a filter's width per target place
-        out = joined.groupBy("image_id", other, F.col("_t").alias("_to")).agg(*((F.sum(F.col("_w") * F.col(c))).alias(c) for c in columns)).withColumnRenamed("_to", axis)
+        out = joined.groupBy("image_id", other, F.col("_t").alias("_to")).agg(*((F.sum(F.col("_w") * F.col(c)) / whole).alias(c) for c in columns)).withColumnRenamed("_to", axis)
     return out.select(*KEY, *columns)
 
 

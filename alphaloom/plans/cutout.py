@@ -22,10 +22,10 @@ def cutout(image_path: str, trimap_path: str, cutout_path: str) -> None:
     save_image(cutout_path, np.concatenate((estimate_foreground_ml(image, alpha), alpha[..., None]), axis=2))
 
 
-def matted(pixels: DataFrame, method: str = "cf", **options) -> DataFrame:
+def matted(pixels: DataFrame, method: str = "cf", size: images.Size = None, **options) -> DataFrame:
     """Foreground r, g, b and alpha a of images with a trimap (image_id, y, x, r, g, b, t)."""
-    alpha = images.estimate_alpha(pixels, method, **options)
-    fg = images.estimate_foreground(pixels.select("image_id", "y", "x", *RGB).join(alpha, ["image_id", "y", "x"]), "ml")
+    alpha = images.estimate_alpha(pixels, method, size, **options)
+    fg = images.estimate_foreground(pixels.select("image_id", "y", "x", *RGB).join(alpha, ["image_id", "y", "x"]), "ml", size)
     return fg.join(alpha, ["image_id", "y", "x"]).select("image_id", "y", "x", *(F.col(f"f_{c}").alias(c) for c in RGB), F.col("alpha").alias("a"))
 
 

@@ -5,10 +5,11 @@ A neighbourhood is never a theta join: pixels fan out by a constant table of off
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -181,40 +182,106 @@ def axis_weights(n: int, m: int, method: str) -> list[tuple[int, int, float]]:
     return out
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, broadcast_rows: int = 100_000) -> DataFrame:
+def _bundled(rows: DataFrame, parts: int, kind: str, most: int | None = None) -> DataFrame:
+    """ids and fs: the rows (id, f) of each of parts as the bytes of two arrays. most: of equal vectors only so many are kept, those of the least ids."""
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, fs = [], []
+        for batch in batches:
+            ids.append(batch.column("id").to_numpy(zero_copy_only=False))
+            fs.append(batch.column("f").flatten().to_numpy(zero_copy_only=False))
+        n = sum(map(len, ids))
+        if not n:
+            return
+        i = np.concatenate(ids)
+        f = np.concatenate(fs).reshape(n, -1).astype(kind)
+        order = np.argsort(i, kind="stable")
+        i, f = i[order], f[order]
+        if most is not None and f.shape[1]:
+            same = np.unique(np.ascontiguousarray(f).view(f"V{f.itemsize * f.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+            by = np.argsort(same, kind="stable")
+            first = np.searchsorted(same[by], same[by])
+            kept = np.sort(by[np.arange(n) - first < most])
+            i, f = i[kept], f[kept]
+        yield pa.RecordBatch.from_pydict({"ids": pa.array([i.astype("<i8").tobytes()], pa.binary()), "fs": pa.array([f.tobytes()], pa.binary())})
+
+    array = "array<float>" if kind == "<f4" else "array<double>"
+    return rows.select(F.col("id").cast("long").alias("id"), F.col("f").cast(array).alias("f")).repartition(parts, "id").mapInArrow(bundle, "ids binary, fs binary")
+
+
+def _nearest(y: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, rows: int = 1024, columns: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of y, ids, distances) of the k nearest rows of x, ties by id; some rows of y at a time.
+
+    Single precision, one matrix product for a tile, tells which pairs can be among the nearest: those that exceed the k-th estimate by no more than twice the bound on the
+    estimates' error. Their distances are then taken in double precision, so the result is exact.
+    """
+    k, dim = min(k, len(x)), x.shape[1]
+    columns = max(columns, k)
+    middle = x.mean(axis=0)
+    b = x - middle
+    square = (b * b).sum(axis=1)
+    wide = np.hstack((-2 * b, square[:, None])).astype(np.float32).T  # [a, 1] times this is the squared distance less that of a
+    far = np.sqrt(square.max())
+    for begin in range(0, len(y), rows):
+        some = y[begin : begin + rows]
+        a = some - middle
+        narrow = np.hstack((a, np.ones((len(a), 1)))).astype(np.float32)
+        slack = 4 * (dim + 8) * 2.0**-24 * (2 * np.sqrt((a * a).sum(axis=1)) * far + far * far)
+        best, limit, found = None, None, []
+        for c in range(0, len(x), columns):
+            s = narrow @ wide[:, c : c + columns]
+            if best is None:
+                best = np.partition(s, k - 1, axis=1)[:, :k].astype(np.float64)
+                limit = best.max(axis=1) + slack
+                r, q = np.nonzero(s <= limit[:, None])
+                found.append((r, q, s[r, q]))
+                continue
+            r, q = np.nonzero(s <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None])  # compared in single precision, the limit rounded up
+            if len(r):
+                v = s[r, q]
+                found.append((r, q + c, v))
+                who, value = np.concatenate((np.repeat(np.arange(len(a)), k), r)), np.concatenate((best.ravel(), v))
+                order = np.lexsort((value, who))
+                who, value = who[order], value[order]
+                best = value[np.searchsorted(who, np.arange(len(a)))[:, None] + np.arange(k)]
+                limit = best.max(axis=1) + slack
+        r, q, v = (np.concatenate(z) for z in zip(*found, strict=True))
+        can = v <= limit[r]
+        r, q = r[can], q[can]
+        d = np.zeros(len(r))
+        for c in range(dim):
+            d += (some[r, c] - x[q, c]) ** 2
+        order = np.lexsort((ids[q], d, r))
+        r, q, d = r[order], q[order], d[order]
+        near = np.arange(len(r)) - np.searchsorted(r, r) < k
+        yield r[near] + begin, ids[q[near]], np.sqrt(d[near])
+
+
+def knn(points: DataFrame, queries: DataFrame, k: int, broadcast_rows: int = 100_000, query_rows: int = 16_384) -> DataFrame:
     """qid, id, d, rank: the k nearest points (id, f) of each query (id, f) by Euclidean distance, ties by id; ValueError if there are fewer points.
 
-    The points are cut into blocks of at most broadcast_rows, each block meets every query in NumPy, and each query keeps the best k of its blocks' k: what is shuffled is
-    k rows per query and block. Queries are a stated set; the work is queries x points, as that of an exact search without an index.
+    The points are cut into blocks of about broadcast_rows and the queries into parts of at most about query_rows, each a row of bytes; a task takes one block and one part, and each
+    query keeps the best k of its blocks' k: what is shuffled is k rows per query and block. Queries are a stated set; the work is queries x points, as that of an exact search
+    without an index, nearly all of it in matrix products.
     """
     n = points.count()
     if n < k:
         raise ValueError(f"{k} neighbours of {n} points")
+    asked = n if queries is points else queries.count()
     blocks = -(-n // broadcast_rows)
-    packed = points.select((F.pmod(F.xxhash64("id"), F.lit(blocks))).alias("block"), F.struct("id", "f").alias("p")).groupBy("block").agg(F.collect_list("p").alias("ps"))
-    parts = max(1, min(64, queries.sparkSession.sparkContext.defaultParallelism))
-    asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.struct(F.col("id").alias("id"), "f").alias("q")).groupBy("part").agg(F.collect_list("q").alias("qs"))
-    pairs = asked.crossJoin(packed.select("ps"))  # blocks with blocks: parts x blocks rows
+    tasks = 3 * queries.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-asked // query_rows), min(-(-asked // 2048), -(-tasks // blocks)))  # small ones only as far as all cores need them
+    kind = "<f4" if all(dict(t.dtypes)["f"] == "array<float>" for t in (points, queries)) else "<f8"
+    some = _bundled(queries, parts, kind).withColumnsRenamed({"ids": "qids", "fs": "qs"})
+    pairs = some.crossJoin(_bundled(points, blocks, kind, k))  # parts x blocks rows
 
-    def best(batches):
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for qs, ps in zip(pdf["qs"], pdf["ps"], strict=True):
-                ids = np.array([p["id"] for p in ps])
-                x = np.array([p["f"] for p in ps], np.float64)
-                for a in range(0, len(qs), 128):
-                    some = qs[a : a + 128]
-                    y = np.array([q["f"] for q in some], np.float64)
-                    d = np.zeros((len(y), len(x)))
-                    for c in range(x.shape[1]):
-                        d += (y[:, c, None] - x[None, :, c]) ** 2
-                    kk = min(k, len(x))
-                    cut = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                    rows = []
-                    for q, row, c in zip(some, d, cut, strict=True):
-                        near = np.flatnonzero(row <= c)
-                        near = near[np.lexsort((ids[near], row[near]))][:kk]
-                        rows += [(q["id"], int(ids[i]), float(np.sqrt(row[i]))) for i in near]
-                    yield pd.DataFrame(rows, columns=["qid", "id", "d"])
+            for row in pdf.itertuples():
+                qids, ids = np.frombuffer(row.qids, "<i8"), np.frombuffer(row.ids, "<i8")
+                y, x = (np.frombuffer(v, kind).reshape(len(i), -1).astype(np.float64) for v, i in ((row.qs, qids), (row.fs, ids)))
+                for r, near, d in _nearest(y, x, ids, k):
+                    yield pd.DataFrame({"qid": qids[r], "id": near, "d": d})
 
     found = pairs.mapInPandas(best, "qid long, id long, d double")
     order = Window.partitionBy("qid").orderBy("d", "id")

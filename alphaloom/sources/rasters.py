@@ -13,19 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows of an image that the stacked raster is cut into.
 ROWS = 50
 
-
-def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, y, x, v: embeddings as rows of a gray raster, rescaled to [0, 1], cut into images of ROWS rows. The range is one row, so its join is a broadcast."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
-    e = e.select(F.col("vec_id").cast("int").alias("y"), "x", F.col("e").cast("double").alias("v"))
+#: Images of a task.
+PER_TASK = 16
+
+
+def raster(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """image_id, y, x, v: embeddings as rows of a gray raster, rescaled to [0, 1], cut into images of ROWS rows. The range is one row, so its join is a broadcast.
+
+    dealt: the table's rows, still whole, are dealt by image, so that what is framed and grouped within images is not shuffled again. The number of tasks grows with that of images
+    (PER_TASK each), as what is made of a pixel later is far larger than what is dealt.
+    """
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("y"), "embedding")
+    e = e.select(F.floor(F.col("y") / ROWS).cast("long").alias("image_id"), (F.col("y") % ROWS).alias("y"), "embedding")
+    if dealt:
+        images = -(-table(spark, sf_dir, "embeddings").count() // ROWS)
+        e = e.repartition(max(1, -(-images // PER_TASK), min(images, 2 * spark.sparkContext.defaultParallelism)), "image_id")
+    e = e.select("image_id", "y", F.posexplode("embedding").alias("x", "e"))
     ends = table(spark, sf_dir, "embeddings").agg(F.min(F.array_min("embedding")).cast("double").alias("lo"), F.max(F.array_max("embedding")).cast("double").alias("hi"))
-    scaled = e.crossJoin(F.broadcast(ends)).select("y", "x", ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("v"))
-    return scaled.select((F.floor(F.col("y") / ROWS)).cast("long").alias("image_id"), (F.col("y") % ROWS).alias("y"), "x", "v")
+    return e.crossJoin(F.broadcast(ends)).select("image_id", "y", "x", ((F.col("e").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("v"))
 
 
 def rgb(spark: SparkSession, sf_dir: str, width: int = 21) -> DataFrame:
-    """image_id, y, x, r, g, b: three stripes of the raster as channels. One aggregation puts a pixel's channels together."""
-    s = raster(spark, sf_dir).filter(F.col("x") < 3 * width)
+    """image_id, y, x, r, g, b: three stripes of the raster as channels, dealt by image. One aggregation puts a pixel's channels together."""
+    s = raster(spark, sf_dir, dealt=True).filter(F.col("x") < 3 * width)
     channel = lambda k: F.max(F.when(F.floor(F.col("x") / width) == k, F.col("v")))
     return s.groupBy("image_id", "y", (F.col("x") % width).alias("x")).agg(channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))
 
